@@ -37,17 +37,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - edits / total)
 
 
-def closest_match(token: Column, choices: Sequence[str], cutoff: float) -> Column:
-    """Most similar choice at or above the cutoff; the largest text wins a tie.
+def _can_match(token_length: int, choice: str, cutoff: float) -> bool:
+    """Whether a different text of this length can reach the cutoff at all."""
+    gap, total = abs(token_length - len(choice)), token_length + len(choice)
+    room = (1 - cutoff) * total + FLOAT_SLACK
+    return gap <= room and room + gap >= 2
 
-    The dictionary is a short literal array, searched inside the row.
-    """
+
+def _best_choice(token: Column, choices: Sequence[str], cutoff: float) -> Column:
     scored = F.transform(
         F.array(*[F.lit(c) for c in choices]),
         lambda c: F.struct(similarity(token, c).alias("sim"), c.alias("choice")),
     )
-    best = F.array_max(scored)
-    return F.when(best["sim"] >= cutoff - FLOAT_SLACK, best["choice"])
+    return F.array_max(F.filter(scored, lambda s: s["sim"] >= cutoff - FLOAT_SLACK))["choice"]
+
+
+def closest_match(
+    token: Column, choices: Sequence[str], cutoff: float, lengths: Sequence[int] | None = None,
+) -> Column:
+    """Most similar choice at or above the cutoff; the largest text wins a tie.
+
+    The dictionary is a short literal array, searched inside the row. Where the possible token
+    lengths are known, each length is compared only with the choices it can match.
+    """
+    exact = F.when(token.isin(*choices), token)
+    if lengths is None:
+        return exact.otherwise(_best_choice(token, choices, cutoff))
+    for length in lengths:
+        possible = [c for c in choices if _can_match(length, c, cutoff)]
+        if possible:
+            exact = exact.when(F.length(token) == length, _best_choice(token, possible, cutoff))
+    return exact
 
 
 def extract_int(text: Column, pattern: str, group: int) -> Column:
@@ -60,7 +80,7 @@ def down_text(clean: Column) -> Column:
     ordinal = F.concat(
         F.regexp_extract(clean, DOWN_DISTANCE, 1), F.regexp_extract(clean, DOWN_DISTANCE, 2),
     )
-    return F.when(clean.rlike(DOWN_DISTANCE), closest_match(ordinal, ORDINALS[:4], DOWN_CUTOFF))
+    return F.when(clean.rlike(DOWN_DISTANCE), closest_match(ordinal, ORDINALS[:4], DOWN_CUTOFF, range(3, 6)))
 
 
 def clock_text(clean: Column) -> Column:
@@ -80,7 +100,7 @@ def quarter_text(head: Column) -> Column:
     ordinal = F.concat(
         F.regexp_extract(head, LEADING_ORDINAL, 1), F.regexp_extract(head, LEADING_ORDINAL, 2),
     )
-    return F.when(head.rlike(LEADING_ORDINAL), closest_match(ordinal, ORDINALS, QUARTER_CUTOFF))
+    return F.when(head.rlike(LEADING_ORDINAL), closest_match(ordinal, ORDINALS, QUARTER_CUTOFF, range(3, 5)))
 
 
 def letters_only(clean: Column) -> Column:
@@ -90,7 +110,7 @@ def letters_only(clean: Column) -> Column:
 def team_text(clean: Column, teams: Sequence[str] = TEAM_CODES) -> Column:
     letters = letters_only(clean)
     return F.when(
-        F.length(letters).between(2, 4), closest_match(letters, teams, TEAM_CUTOFF),
+        F.length(letters).between(2, 4), closest_match(letters, teams, TEAM_CUTOFF, range(2, 5)),
     )
 
 

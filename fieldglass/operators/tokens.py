@@ -47,47 +47,80 @@ def raw_text(tokens: Column) -> Column:
     return F.array_join(F.transform(order_tokens(tokens), lambda t: t["text"]), " ")
 
 
-def token_rule(clean: Column, team: Column) -> Column:
-    """Class of a normalised token; the first matching rule takes it."""
+def early_rule(clean: Column) -> Column:
+    """Class of a normalised token by its pattern alone; null where a team or score may follow."""
+    marked = clean.contains("&")
     return (
         F.when(clean == "", EMPTY)
-        .when(clean.rlike(tx.DOWN_DISTANCE), DOWN_DISTANCE)
-        .when(clean.contains("&"), DISTANCE)
-        .when(tx.ordinal_head(clean).rlike(tx.LEADING_ORDINAL), QUARTER)
+        .when(marked & clean.rlike(tx.DOWN_DISTANCE), DOWN_DISTANCE)
+        .when(marked, DISTANCE)
+        .when(clean.rlike(tx.LEADING_ORDINAL), QUARTER)
+    )
+
+
+def late_rule(clean: Column, early: Column, team: Column) -> Column:
+    """The whole class, in order of precedence."""
+    return (
+        F.when(early.isNotNull(), early)
         .when(team.isNotNull(), TEAM)
         .when(clean.rlike(tx.SCORE), SCORE)
         .otherwise(OTHER)
     )
 
 
-def token_fields(clean: Column, teams: Sequence[str] = tx.TEAM_CODES) -> dict[str, Column]:
+def token_fields(clean: Column, rule: Column, team: Column) -> dict[str, Column]:
     """Everything one normalised token says; null where its class does not say it."""
-    team = tx.team_text(clean, teams)
-    rule = token_rule(clean, team)
+    timed = (rule >= QUARTER) & (clean.contains(":") | clean.contains("."))
     return {
-        "rule": rule,
-        "clock": F.when(rule >= QUARTER, tx.clock_text(clean)),
+        "clock": F.when(timed, tx.clock_text(clean)),
         "down": F.when(rule == DOWN_DISTANCE, lookup(tx.down_text(clean), DOWN_NUMBERS)),
         "distance": F.when(rule == DOWN_DISTANCE, tx.extract_int(clean, tx.DOWN_DISTANCE, 3))
         .when(rule == DISTANCE, tx.extract_int(clean, tx.DISTANCE, 1)),
-        "quarter": F.when(rule == QUARTER, tx.quarter_text(tx.ordinal_head(clean))),
-        "team": F.when(rule == TEAM, team),
+        "quarter": F.when(rule == QUARTER, tx.quarter_text(clean)),
+        "team": team,
         "score": F.when(rule == SCORE, tx.score_value(clean)),
     }
 
 
 def token_hits(tokens: Column, teams: Sequence[str] = tx.TEAM_CODES) -> Column:
-    """Classified tokens of a frame, left to right."""
+    """Classified tokens of a frame, left to right.
+
+    Each step adds one costly field, so no pattern or dictionary is tried twice for a token.
+    """
     cleaned = F.transform(
         order_tokens(tokens),
         lambda t: F.struct(t["x"].alias("x"), tx.normalise_token(t["text"]).alias("clean")),
     )
+    patterned = F.transform(
+        cleaned, lambda t: F.struct(t["x"], t["clean"], early_rule(t["clean"]).alias("early")),
+    )
+    named = F.transform(
+        patterned,
+        lambda t: F.struct(
+            t["x"], t["clean"], t["early"],
+            F.when(t["early"].isNull(), tx.team_text(t["clean"], teams)).alias("team"),
+        ),
+    )
+    ruled = F.transform(
+        named,
+        lambda t: F.struct(
+            t["x"], t["clean"], t["team"], late_rule(t["clean"], t["early"], t["team"]).alias("rule"),
+        ),
+    )
 
     def classify(t: Column) -> Column:
-        fields = token_fields(t["clean"], teams)
-        return F.struct(t["x"].alias("x"), *[c.alias(n) for n, c in fields.items()])
+        fields = token_fields(t["clean"], t["rule"], t["team"])
+        return F.struct(t["x"], t["rule"], *[c.alias(n) for n, c in fields.items()])
+
+    return F.transform(ruled, classify)
 
-    return F.transform(cleaned, classify)
+
+def computed_once(df: DataFrame, value: Column, name: str, keep: Sequence[str]) -> DataFrame:
+    """Add a costly column so that later filters and repeated uses read its result.
+
+    A plain projection would be copied into every filter above it; a generator is not.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def _first(hits: Column, field: str, place: int = 1) -> Column:
@@ -99,7 +132,7 @@ def with_state(
 ) -> DataFrame:
     """Add struct `out` with the raw text and the eight state fields of a token array."""
     keep = frames.columns
-    hits = frames.withColumn("_hits", token_hits(F.col(tokens), teams))
+    hits = computed_once(frames, token_hits(F.col(tokens), teams), "_hits", keep)
     found = hits.select(
         *keep,
         raw_text(F.col(tokens)).alias("_raw_text"),
@@ -131,7 +164,7 @@ def with_state(
         F.when(lone_is_home, F.col("_t1")["team"]).otherwise(F.col("_t2")["team"]).alias("home_team"),
         F.col("_s2")["score"].alias("home_score"),
     )
-    return placed.select(*keep, state.alias(out))
+    return computed_once(placed, state, out, keep)
 
 
 def parse_token_frames(
