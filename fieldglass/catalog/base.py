@@ -173,6 +173,10 @@ STREAM_UNIT = 3e8
 USER_UNIT = 2e10
 
 
+# Whole hundredths over a power of two: sums and squares are exact in any order.
+AMPLITUDE = F.round(F.col("value") * 100) / 8192
+
+
 def event_seconds(unit: float):
     origin = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return (F.unix_micros(F.col("ts").cast("timestamp")) - origin) / F.lit(unit)
@@ -182,7 +186,7 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     """(stream, t, id, rms): amplitude of every event."""
     return table(spark, folder, "events").select(
         F.col("event_type").alias("stream"), event_seconds(STREAM_UNIT).alias("t"),
-        F.col("event_id").alias("id"), (F.col("value") / 100).alias("rms"),
+        F.col("event_id").alias("id"), AMPLITUDE.alias("rms"),
     )
 
 
@@ -190,7 +194,7 @@ def clip_energy(spark: SparkSession, folder: str) -> DataFrame:
     """(clip_id, timestamp_sec, id, rms): a user's clicks, views and errors."""
     return table(spark, folder, "events").where(F.col("event_type").isin("click", "view", "error")).select(
         F.col("user_id").alias("clip_id"), event_seconds(USER_UNIT).alias("t"),
-        F.col("event_id").alias("id"), (F.col("value") / 100).alias("rms"),
+        F.col("event_id").alias("id"), AMPLITUDE.alias("rms"),
     )
 
 
@@ -205,11 +209,11 @@ def clip_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 SIGNAL_SQL = (
     f"SELECT event_type AS stream, (epoch_us(ts) - {ORIGIN_MICROS}) / {STREAM_UNIT:.1f}::DOUBLE AS t, "
-    "event_id AS id, value / 100 AS rms FROM events"
+    "event_id AS id, round(value * 100) / 8192 AS rms FROM events"
 )
 CLIP_ENERGY_SQL = (
     f"SELECT user_id AS clip_id, (epoch_us(ts) - {ORIGIN_MICROS}) / {USER_UNIT:.1f}::DOUBLE AS t, "
-    "event_id AS id, value / 100 AS rms FROM events WHERE event_type IN ('click', 'view', 'error')"
+    "event_id AS id, round(value * 100) / 8192 AS rms FROM events WHERE event_type IN ('click', 'view', 'error')"
 )
 CLIP_SCORES_SQL = (
     f"SELECT user_id AS clip_id, (epoch_us(ts) - {ORIGIN_MICROS}) / {USER_UNIT:.1f}::DOUBLE AS t, "

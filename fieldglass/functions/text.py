@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - edits / total)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _can_match(token_length: int, choice: str, cutoff: float) -> bool:
     """Whether a different text of this length can reach the cutoff at all."""
     gap, total = abs(token_length - len(choice)), token_length + len(choice)
@@ -60,14 +65,17 @@ def closest_match(
     The dictionary is a short literal array, searched inside the row. Where the possible token
     lengths are known, each length is compared only with the choices it can match.
     """
-    exact = F.when(token.isin(*choices), token)
-    if lengths is None:
-        return exact.otherwise(_best_choice(token, choices, cutoff))
-    for length in lengths:
-        possible = [c for c in choices if _can_match(length, c, cutoff)]
-        if possible:
-            exact = exact.when(F.length(token) == length, _best_choice(token, possible, cutoff))
-    return exact
+    def match(t: Column) -> Column:
+        found = F.when(t.isin(*choices), t)
+        if lengths is None:
+            return found.otherwise(_best_choice(t, choices, cutoff))
+        for length in lengths:
+            possible = [c for c in choices if _can_match(length, c, cutoff)]
+            if possible:
+                found = found.when(F.length(t) == length, _best_choice(t, possible, cutoff))
+        return found
+
+    return let(token, match)
 
 
 def extract_int(text: Column, pattern: str, group: int) -> Column:
@@ -108,10 +116,7 @@ def letters_only(clean: Column) -> Column:
 
 
 def team_text(clean: Column, teams: Sequence[str] = TEAM_CODES) -> Column:
-    letters = letters_only(clean)
-    return F.when(
-        F.length(letters).between(2, 4), closest_match(letters, teams, TEAM_CUTOFF, range(2, 5)),
-    )
+    return closest_match(letters_only(clean), teams, TEAM_CUTOFF, range(2, 5))
 
 
 def score_value(clean: Column) -> Column:
