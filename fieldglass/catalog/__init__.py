@@ -5,5 +5,5 @@ plays, orders as games, events as signal and scores, text as scoreboard tokens,
 """
 
 from fieldglass.catalog import base  # noqa: F401
-from fieldglass.catalog import plays, asof, games, tokens, signal, vision  # noqa: F401
+from fieldglass.catalog import plays, asof, games, tokens, signal, vision, records, models, live  # noqa: F401
 from fieldglass.catalog.base import QUERIES, SQL  # noqa: F401

@@ -55,8 +55,8 @@ def good_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def bad_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value"))
+def bad_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return df.where(F.col(CORRUPT).isNotNull()).select(*keep, F.col(CORRUPT).alias("value"))
 
 
 def kafka_options(servers: str, topics: str | Sequence[str], from_beginning: bool = True) -> dict[str, str]:

@@ -45,6 +45,7 @@ def start_append(
 def start_with_quarantine(
     decoded: DataFrame, good_path: str, bad_path: str, checkpoint: str,
     handle: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
+    keep: Sequence[str] = (),
 ) -> StreamingQuery:
     """Process good records and set bad ones aside, so one bad record never stops the stream.
 
@@ -54,7 +55,7 @@ def start_with_quarantine(
         kept = batch.persist()
         good = good_rows(kept)
         (handle(good) if handle else good).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        bad_rows(kept).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        bad_rows(kept, keep).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
         kept.unpersist()
 
     writer = decoded.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
