@@ -158,7 +158,7 @@ def h8(spark, folder):
 @query("h14_raw_text", f"""{WITH_TOKENS} SELECT doc_id, CAST(i // {FRAME} AS INTEGER) AS seg, string_agg(text, ' ' ORDER BY i) AS raw_text
 FROM c GROUP BY 1, 2""")
 def h14(spark, folder):
-    return frames(spark, folder).select("doc_id", "seg", tk.raw_text(F.col("tokens")).alias("raw_text"))
+    return frames(spark, folder).select("doc_id", "seg", tk.raw_text(tk.order_tokens(F.col("tokens"))).alias("raw_text"))
 
 
 @query("f6_token_order", f"""{WITH_TOKENS} SELECT doc_id, i, text, CAST(row_number() OVER (
@@ -190,7 +190,7 @@ def c15(spark, folder):
 @query("c21_lone_team_side", f"""{WITH_STATES} SELECT l.doc_id, l.seg, l.lone_home FROM lone l
 WHERE len(teams) = 1 AND len(scores) = 2""")
 def c21(spark, folder):
-    hits = tk.computed_once(frames(spark, folder), tk.token_hits(F.col("tokens")), "hits", ["doc_id", "seg"])
+    hits = tk.computed_once(frames(spark, folder), tk.token_hits(tk.order_tokens(F.col("tokens"))), "hits", ["doc_id", "seg"])
     parsed = hits.select(
         "doc_id", "seg", F.filter("hits", lambda h: h["team"].isNotNull()).alias("teams"),
         F.filter("hits", lambda h: h["score"].isNotNull()).alias("scores"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -42,21 +43,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _can_match(token_length: int, choice: str, cutoff: float) -> bool:
-    """Whether a different text of this length can reach the cutoff at all."""
-    gap, total = abs(token_length - len(choice)), token_length + len(choice)
-    room = (1 - cutoff) * total + FLOAT_SLACK
-    return gap <= room and room + gap >= 2
+def _allowed_edits(token_length: int, choice_length: int, cutoff: float) -> int:
+    """Most edits with which texts of these lengths still reach the cutoff; -1 if none can."""
+    gap, total = abs(token_length - choice_length), token_length + choice_length
+    edits = math.floor(((1 - cutoff) * total + gap) / 2 + FLOAT_SLACK)
+    return edits if edits >= gap else -1
 
 
-def _best_choice(token: Column, choices: Sequence[str], cutoff: float) -> Column:
+def _best_of(token: Column, candidates: Column, cutoff: float) -> Column:
     scored = F.transform(
-        F.array(*[F.lit(c) for c in choices]),
-        lambda c: F.struct(similarity(token, c).alias("sim"), c.alias("choice")),
+        candidates, lambda c: F.struct(similarity(token, c).alias("sim"), c.alias("choice")),
     )
     return F.array_max(F.filter(scored, lambda s: s["sim"] >= cutoff - FLOAT_SLACK))["choice"]
 
 
+def _within(token: Column, choices: Sequence[str], edits: int) -> Column:
+    return F.filter(
+        F.array(*[F.lit(c) for c in choices]), lambda c: F.levenshtein(token, c, edits) >= 0,
+    )
+
+
+def _near_choices(token: Column, length: int, choices: Sequence[str], cutoff: float) -> Column | None:
+    """Choices within the edits allowed for a token of known length, by a bounded edit distance."""
+    near = []
+    for size in sorted({len(c) for c in choices}):
+        edits = _allowed_edits(length, size, cutoff)
+        if edits >= 1:
+            near.append(_within(token, [c for c in choices if len(c) == size], edits))
+    return F.concat(*near) if near else None
+
+
 def closest_match(
     token: Column, choices: Sequence[str], cutoff: float, lengths: Sequence[int] | None = None,
 ) -> Column:
@@ -68,11 +84,11 @@ def closest_match(
     def match(t: Column) -> Column:
         found = F.when(t.isin(*choices), t)
         if lengths is None:
-            return found.otherwise(_best_choice(t, choices, cutoff))
+            return found.otherwise(_best_of(t, F.array(*[F.lit(c) for c in choices]), cutoff))
         for length in lengths:
-            possible = [c for c in choices if _can_match(length, c, cutoff)]
-            if possible:
-                found = found.when(F.length(t) == length, _best_choice(t, possible, cutoff))
+            near = _near_choices(t, length, choices, cutoff)
+            if near is not None:
+                found = found.when(F.length(t) == length, _best_of(t, near, cutoff))
         return found
 
     return let(token, match)

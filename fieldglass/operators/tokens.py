@@ -40,11 +40,12 @@ def order_tokens(tokens: Column) -> Column:
         tokens,
         lambda t, i: F.struct(t["x"].cast("double").alias("x"), i.alias("ix"), t["text"].alias("text")),
     )
-    return F.array_sort(indexed)
+    return F.sort_array(indexed)
 
 
-def raw_text(tokens: Column) -> Column:
-    return F.array_join(F.transform(order_tokens(tokens), lambda t: t["text"]), " ")
+def raw_text(ordered: Column) -> Column:
+    """Texts of ordered tokens in one line."""
+    return F.array_join(F.transform(ordered, lambda t: t["text"]), " ")
 
 
 def early_rule(clean: Column) -> Column:
@@ -82,13 +83,13 @@ def token_fields(clean: Column, rule: Column, team: Column) -> dict[str, Column]
     }
 
 
-def token_hits(tokens: Column, teams: Sequence[str] = tx.TEAM_CODES) -> Column:
-    """Classified tokens of a frame, left to right.
+def token_hits(ordered: Column, teams: Sequence[str] = tx.TEAM_CODES) -> Column:
+    """Classified tokens of a frame, from its ordered tokens.
 
     Each step adds one costly field, so no pattern or dictionary is tried twice for a token.
     """
     cleaned = F.transform(
-        order_tokens(tokens),
+        ordered,
         lambda t: F.struct(t["x"].alias("x"), tx.normalise_token(t["text"]).alias("clean")),
     )
     patterned = F.transform(
@@ -132,10 +133,11 @@ def with_state(
 ) -> DataFrame:
     """Add struct `out` with the raw text and the eight state fields of a token array."""
     keep = frames.columns
-    hits = computed_once(frames, token_hits(F.col(tokens), teams), "_hits", keep)
+    ordered = computed_once(frames, order_tokens(F.col(tokens)), "_ordered", keep)
+    hits = computed_once(ordered, token_hits(F.col("_ordered"), teams), "_hits", [*keep, "_ordered"])
     found = hits.select(
         *keep,
-        raw_text(F.col(tokens)).alias("_raw_text"),
+        raw_text(F.col("_ordered")).alias("_raw_text"),
         _first(F.col("_hits"), "quarter", -1)["quarter"].alias("_quarter"),
         _first(F.col("_hits"), "clock")["clock"].alias("_clock"),
         _first(F.col("_hits"), "down", -1)["down"].alias("_down"),
