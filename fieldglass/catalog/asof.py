@@ -240,7 +240,12 @@ def e6(spark, folder):
     return starters.likely_starters(stats, _points(spark, folder), injuries(spark, folder))
 
 
-@query("e5_likely_starter", f"WITH {STARTERS_CTE} SELECT * FROM starters WHERE team = 'T07' AND season = 2000 AND week = 6")
+# The point asked for need not be a week in which the team played.
+ONE_POINT = "points AS (SELECT 'T07' AS team, 2000 AS season, 6 AS week)"
+ALL_POINTS = "points AS (SELECT DISTINCT posteam AS team, season, week FROM plays WHERE posteam IS NOT NULL)"
+
+
+@query("e5_likely_starter", f"WITH {STARTERS_CTE.replace(ALL_POINTS, ONE_POINT)} SELECT * FROM starters")
 def e5(spark, folder):
     stats = passer_game_stats(plays(spark, folder))
     out = starters.likely_starter(stats, "T07", 2000, 6, injuries(spark, folder))

@@ -174,7 +174,8 @@ USER_UNIT = 2e10
 
 
 # Whole hundredths over a power of two: sums and squares are exact in any order.
-AMPLITUDE = F.round(F.col("value") * 100) / 8192
+def amplitude():
+    return F.round(F.col("value") * 100) / 8192
 
 
 def event_seconds(unit: float):
@@ -186,7 +187,7 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     """(stream, t, id, rms): amplitude of every event."""
     return table(spark, folder, "events").select(
         F.col("event_type").alias("stream"), event_seconds(STREAM_UNIT).alias("t"),
-        F.col("event_id").alias("id"), AMPLITUDE.alias("rms"),
+        F.col("event_id").alias("id"), amplitude().alias("rms"),
     )
 
 
@@ -194,7 +195,7 @@ def clip_energy(spark: SparkSession, folder: str) -> DataFrame:
     """(clip_id, timestamp_sec, id, rms): a user's clicks, views and errors."""
     return table(spark, folder, "events").where(F.col("event_type").isin("click", "view", "error")).select(
         F.col("user_id").alias("clip_id"), event_seconds(USER_UNIT).alias("t"),
-        F.col("event_id").alias("id"), AMPLITUDE.alias("rms"),
+        F.col("event_id").alias("id"), amplitude().alias("rms"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.catalog.base import (
-    STREAM_UNIT, USER_UNIT, event_seconds, query, table,
+    STREAM_UNIT, USER_UNIT, amplitude, event_seconds, query, table,
 )
 from fieldglass.catalog.models import in_play_model
 from fieldglass.catalog.records import BROKEN
@@ -105,10 +105,9 @@ def i2(spark, folder):
 
 def _live(spark, folder, limits=Limits()):
     stream = replayed(spark, folder, USER_UNIT)
-    amplitude = F.round(F.col("value") * 100) / 8192
     tens = F.floor(F.col("value") / 10).cast("int")
     energy = stream.where(F.col("event_type").isin("click", "view", "error")).select(
-        F.col("user_id").alias("clip_id"), F.col("t").alias("timestamp_sec"), F.col("event_id").alias("id"), amplitude.alias("rms"),
+        F.col("user_id").alias("clip_id"), F.col("t").alias("timestamp_sec"), F.col("event_id").alias("id"), amplitude().alias("rms"),
     )
     scores = stream.where(F.col("event_type").isin("purchase", "signup")).select(
         F.col("user_id").alias("clip_id"), F.col("t").alias("timestamp_sec"), F.col("event_id").alias("id"),

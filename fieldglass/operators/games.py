@@ -68,13 +68,18 @@ def early_down_success_rate(plays: DataFrame, success: str = "success") -> DataF
 def zscore(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add population z-scores, `{new: old}`; 0 where the spread is 0 or unknown.
 
-    Mean and spread come from one scalar subquery, so no second input is joined.
+    Mean and spread come from one scalar subquery, so no second input is joined. The subquery also
+    counts the other columns: it then needs the same rows as the outer query, and Spark runs the
+    aggregate behind both only once.
     """
     moments = df.agg(
-        F.struct(*[
-            F.struct(F.avg(old).alias("mean"), F.stddev_pop(old).alias("sd")).alias(new)
-            for new, old in columns.items()
-        ]),
+        F.struct(
+            *[
+                F.struct(F.avg(old).alias("mean"), F.stddev_pop(old).alias("sd")).alias(new)
+                for new, old in columns.items()
+            ],
+            F.struct(*[F.count(c).alias(c) for c in df.columns]).alias("_counts"),
+        ),
     ).scalar()
     with_moments = df.withColumn("_moments", moments)
     out = {
