@@ -150,3 +150,57 @@ def test_json_array_and_nan(spark, tmp_path):
     assert [(r["week"], r["actual"]) for r in got.orderBy("week").collect()][1] == (4, None)
     nan = spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "x double, k int")
     assert [r["x"] for r in tables.nan_columns_to_null(nan).orderBy("k").collect()] == [None, 2.0]
+
+
+def test_players_are_classified_on_a_stream(spark):
+    colours = spark.createDataFrame(
+        [("CLE", "#FF3C00", "#311D00"), ("NE", "#002244", None)], "team_abbr string, team_color string, team_color2 string")
+    from fieldglass.operators.vision import frame_counts, frame_detections, team_swatches
+    from fieldglass.streaming.live import classified_players
+    rows = [(f, 0.5 * f, 720, [10.0, 300.0, 30.0, 400.0], c, 0, h, "CLE", "NE", "CLE")
+            for f in (1, 2, 3, 5) for c, h in ((0.9, 8.0), (0.9, 104.0), (0.9, 60.0), (0.1, 8.0))]
+    schema = ("frame_id int, timestamp_sec double, frame_height int, bbox array<double>, confidence double, class int, hue double, "
+              "away_team string, home_team string, posteam string")
+    path, out = scratch_path(spark, "boxes"), scratch_path(spark, "players")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    players = classified_players(spark.readStream.schema(schema).parquet(path), team_swatches(colours))
+    start_append(players, out, scratch_path(spark, "ck")).awaitTermination()
+    seen = spark.read.schema(players.schema).parquet(out)
+    assert [tuple(r) for r in frame_counts(seen).orderBy("frame_id").collect()] == [(2, 1.0, 3, 1, 1, 1), (5, 2.5, 3, 1, 1, 1)]
+    record = frame_detections(seen).where("frame_id = 5").first()
+    assert sorted((p["team"] or "", p["side"] or "") for p in record["players"]) == [("", ""), ("CLE", "offense"), ("NE", "defense")]
+
+
+def test_a_saved_model_scores_the_same(spark):
+    from fieldglass.models import boosting
+    rng = random.Random(14)
+    rows = [(2020 + i % 3, rng.uniform(-1, 1), None if i % 7 == 0 else rng.uniform(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "season int, a double, b double").withColumn("label", (F.col("a") > 0).cast("int"))
+    fitted = boosting.train_win_probability(df, 2022, boosting.Boosting(trees=3, depth=2), ["a", "b"])
+    assert fitted.metrics["accuracy"] > 0.9 and fitted.metrics["n_test"] == 100
+    path = scratch_path(spark, "model")
+    boosting.save(fitted, path, spark)
+    again = boosting.load(path, spark)
+    one, two = (boosting.score(m, df).orderBy("season", "a").collect() for m in (fitted, again))
+    assert one == two and again.features == ["a", "b"]
+    assert boosting.score(fitted, df.drop("b")).count() == 300
+
+
+def test_features_before_a_change_stay_the_same(spark):
+    """Changing plays of week 5 and later leaves every feature of weeks up to 5 alone."""
+    from fieldglass.plans.features import feature_matrix
+    rng = random.Random(15)
+    pairs = (("A", "B"), ("B", "A"), ("C", "D"), ("D", "C"))
+    rows = [(f"g{w}{min(a, b)}", 2024, w, a, b, "pass", 0.5, rng.choice([0.0, 1.0]), 1.0, float(rng.randrange(1, 4)), float(rng.randrange(2)),
+             rng.uniform(-5, 5), rng.uniform(-1, 1)) for w in range(1, 8) for a, b in pairs for _ in range(5)]
+    schema = ("game_id string, season int, week int, posteam string, defteam string, play_type string, wp double, pass_attempt double, "
+              "rush_attempt double, down double, success double, cpoe double, epa double")
+    df = spark.createDataFrame(rows, schema)
+    loud = df.withColumn("epa", F.when(F.col("week") >= 5, 99.0).otherwise(F.col("epa")))
+    known = ["off_epa_pass_ema5", "def_epa_rush_ema5", "edsr_ema5", "adj_off_epa", "adj_def_epa"]
+
+    def early(plays):
+        out = feature_matrix(plays).where("week <= 5").select("game_id", "team", *[F.round(c, 9) for c in known])
+        return sorted(map(str, out.collect()))
+
+    assert early(df) == early(loud)
