@@ -80,6 +80,15 @@ def test_ema_of_long_series_equals_pandas(spark):
         assert (r[-1] is None and np.isnan(e)) or r[-1] == pytest.approx(e, abs=1e-9)
 
 
+def test_both_ema_forms_agree(spark):
+    both = panel(spark, [1.0, None, 4.0, 2.0]).unionByName(panel(spark, [None, 3.0, 5.0], 2025)).withColumn("y", F.col("x") * 2)
+    for reset in (True, False):
+        short = rolling.rolling_ema(both, ["x", "y"], reset_each_season=reset)
+        blocks = rolling.rolling_ema(both, ["x", "y"], reset_each_season=reset, any_length=True)
+        near = [[r and pytest.approx(r) for r in row[-2:]] for row in rows_of(short, "season", "week")]
+        assert near == [list(row[-2:]) for row in rows_of(blocks, "season", "week")]
+
+
 def test_ema_refuses_overflow(spark):
     with pytest.raises(Exception, match="rolling_ema_blocks"):
         rolling.rolling_ema(panel(spark, [1.0] * 2000), ["x"]).collect()
