@@ -1,4 +1,4 @@
-"""From documents to packed training sequences: language, copies, secrets, mix, packing.
+"""From documents to packed training sequences: language, near copies, secrets, mix, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next stage's docs. All stages but the last return the columns of `documents`.
@@ -8,26 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.llm import credentials, mixing
+from fieldglass.llm import credentials, language, minhash, mixing, packing
+from fieldglass.llm.queries import tokenizer_path
 from fieldglass.llm.tables import keep_once
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no language of the corpus, go."""
+    return language.keep_identified(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return minhash.keep_one_of_each(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by their kind; every document stays."""
+    """Found secrets are replaced by their kind, n_chars follows; every document stays."""
     return credentials.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: repeats are rows of their own."""
     return mixing.mix(docs).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 4096 tokens."""
+    return packing.pack(packing.pieces_of(docs, tokenizer_path())).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
-    ("secret scan", redact_secrets),
-    ("mixing", mix_sources),
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
-# SQL has no tokenizer and no trained models.
+# SQL has no tokenizer and no trained models; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

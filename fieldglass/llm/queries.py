@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import credentials, mixing, sharding, url_rules
+from fieldglass.llm import credentials, language, minhash, mixing, packing, sharding, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +135,62 @@ def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(credentials.span_text("base"), 256).alias("base_sha256"),
         credentials.span_text(F.concat("base", "linked")).alias("spans"))
+
+
+NEAR_SQL = """
+with recursive words as (
+  select doc_id, [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') if w <> ''] as w from documents
+), grams as (
+  select doc_id, w, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as g from words
+), classes as (
+  select min(doc_id) as node, w, any_value(g) as g from grams group by w
+), flat as (
+  select node, len(g) as n, unnest(g) as s from classes
+), shared as (
+  select a.node as a, b.node as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as n_both
+  from flat a join flat b on a.s = b.s and a.node < b.node group by 1, 2
+), links as (
+  select a, b from shared where n_both >= 0.8 * (na + nb - n_both) - 1e-9
+), sym as (
+  select a, b from links union select b, a from links
+), reach as (
+  select node as start, node from classes
+  union
+  select reach.start, sym.b from reach join sym on reach.node = sym.a
+), component as (
+  select start as node, min(node) as component_id from reach group by start
+)
+select doc_id, component_id, doc_id = component_id as kept
+from grams join classes using (w) join component using (node)
+"""
+
+
+@query("op6_near_duplicates", NEAR_SQL)
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "component_id", "kept")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_packing")
+def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_language")
+def identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents (declared language and source) and pages (html language and address) in one run of the text model."""
+    documents, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    labelled = documents.select("text", language.language_tag(F.col("lang")).alias("label"))
+    languages, model = language.fit_text_model(labelled, "text", "label")
+    columns = ["text_language", "language", F.round("posterior", 6).alias("posterior"), "accepted"]
+    of_documents = language.identify(documents, "text", "lang", ["source"], languages, model, ["doc_id"])
+    of_pages = language.identify(
+        language.page_evidence(pages), "_text", "_declared_lang", ["_suffix", "_domain", "_host"], languages, model, ["page_id"])
+    return of_documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), *columns).unionByName(
+        of_pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns))
