@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import credentials, language, minhash, mixing, packing, sharding, url_rules
+from fieldglass.llm import credentials, language, minhash, mixing, packing, sharding, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,3 +194,32 @@ def identify_language(spark: SparkSession, folder: str) -> DataFrame:
         language.page_evidence(pages), "_text", "_declared_lang", ["_suffix", "_domain", "_host"], languages, model, ["page_id"])
     return of_documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), *columns).unionByName(
         of_pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns))
+
+
+VECTOR_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), sized as (
+  select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from usable
+), links as (
+  select a.vec_id as a, b.vec_id as b from sized a join sized b
+    on a.label = b.label and a.vec_id <> b.vec_id and a.size > 0 and b.size > 0 and len(a.v) = len(b.v)
+  where list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), reach as (
+  select vec_id as start, vec_id as node from embeddings
+  union
+  select reach.start, links.b from reach join links on reach.node = links.a
+), component as (
+  select start as vec_id, min(node) as component_id from reach group by start
+), counts as (
+  select a as vec_id, count(*) as n_links from links group by a
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings left join counts using (vec_id) join component using (vec_id)
+"""
+
+
+@query("op4_vector_copies", VECTOR_SQL)
+def vector_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
