@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import credentials, language, minhash, mixing, packing, sharding, url_rules, vectors
+from fieldglass.llm import credentials, fingerprints, language, minhash, mixing, packing, sharding, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,3 +223,8 @@ from embeddings left join counts using (vec_id) join component using (vec_id)
 @query("op4_vector_copies", VECTOR_SQL)
 def vector_copies(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op5_fingerprints")
+def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
