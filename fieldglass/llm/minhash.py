@@ -7,8 +7,8 @@ weighted Jaccard similarity as chance. The work per document follows the number
 coordinates times elements (Christiani, DartMinHash, 2020).
 
 Equal texts are one class before anything is joined. Classes meet in band buckets; each bucket first
-compares its members with one leader, then only members of different components with each other, so
-a large group of near copies costs no square of its size. Each link is verified on the whole
+compares its members with one leader, then only members of different components with each other, in
+blocks, so a large group of near copies costs no square of its size. Each link is verified on the whole
 shingle sets.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ BANDS = 24
 ROWS = 6  # a pair at 0.8 meets in one of 24 bands of 6 with probability 0.9993
 _ARRIVALS = 4  # darts drawn together for one region
 _UNIT = 2.0**-53
+_ROUNDING = 1e-12
+BLOCK = 1024  # sets on each side of a comparison within a bucket
 
 
 def shingles(words: np.ndarray, places: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +212,8 @@ def near_duplicates(
         F.min("id").alias("least_id"), F.coalesce(F.min_by("_row", "id"), F.min("_row")).alias("node")), "classes")
     filed = sketched.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(
         F.col("_row").alias("node"), F.explode("bands").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members = keep_once(filed.join(shared.select("bucket", "leader"), "bucket"), "bucket-members")
+    shared = filed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
+    members = keep_once(filed.join(shared.select("bucket"), "bucket", "left_semi"), "bucket-members")
 
     # Shingle sets only of texts that share a bucket.
     wanted = members.select("node").distinct()
@@ -223,10 +225,13 @@ def near_duplicates(
         named.join(of_text.join(repeated, IDENTITY, "left_semi"), IDENTITY).groupBy("node").agg(F.first(text_column).alias(text_column)))
     sets = keep_once(whole.select("node", make_sets(F.coalesce(F.col(text_column), F.lit(""))).alias("s")).select("node", "s.*"), "shingle-sets")
 
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep_once(verified(stars, sets, similarity), "links")
-    rest = _crossing(members, connected_components(links))
-    more = keep_once(verified(rest, sets, similarity), "more-links")
+    # A bucket's leader is the member with most shareable weight: whatever links there, most likely links with it.
+    able = keep_once(members.join(_shareable(sets, similarity), "node"), "able-members")
+    merit = F.floor(F.col("shareable") / F.col("weight") * 1000) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
+    heads = able.groupBy("bucket").agg(F.max_by("node", merit).alias("x"), F.max_by("weight", merit).alias("wx"), F.max_by("shareable", merit).alias("sx"))
+    stars = able.join(heads, "bucket").where((F.col("node") != F.col("x")) & _may_reach(similarity)).select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
+    links = keep_once(compare(stars, sets).where(F.col("similarity") >= similarity - _ROUNDING).select("a", "b"), "links")
+    more = keep_once(_crossing_links(able, connected_components(links), sets, similarity), "more-links")
     components = connected_components(links.unionByName(more))
 
     labelled = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -241,34 +246,106 @@ def near_duplicates(
     return out
 
 
-def _crossing(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but not yet a component.
+def _may_reach(similarity: float) -> Column:
+    """Whether sets of weights wx and weight, of which sx and shareable can be shared at most, may reach the similarity."""
+    return F.least("sx", "shareable") >= similarity / (1 + similarity) * (1 - 1e-9) * (F.col("wx") + F.col("weight"))
 
-    In each bucket the component with most members is left whole; the others' members meet all
-    members of other components. A bucket of one component, however large, gives no pair.
+
+def _crossing_links(able: DataFrame, components: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that are not yet in one component.
+
+    In each bucket the component with most members is left whole; the others' members are compared
+    with all members of other components. A bucket of one component, however large, has nothing to
+    compare. The comparison runs in blocks of at most about BLOCK sets a side, so a bucket of any
+    size is no single task, and gives one link per set and other component of a block.
+    """
+    labelled = keep_once(
+        able.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled-members")
+    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(
+        F.max_by("component", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("components"),
+    ).where("components > 1").select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
+    inside = labelled.join(mixed, "bucket")
+
+    def of_block(n: str, role: int) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(role)), F.col(n))
+
+    def every_block(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    rows = inside.where("component <> main").withColumns({"i": of_block("rows", 0), "j": every_block("columns"), "role": F.lit(0)})
+    columns = inside.withColumns({"j": of_block("columns", 1), "i": every_block("rows"), "role": F.lit(1)})
+    names = ["bucket", "i", "j", "role", "node", "component"]
+    dealt = rows.select(*names).unionByName(columns.select(*names)).join(sets, "node")
+
+    def compare_block(block: pd.DataFrame) -> pd.DataFrame:
+        asks, others = block[block["role"] == 0], block[block["role"] == 1]
+        a, b = _block_links(asks, others, similarity)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare_block, "a bigint, b bigint").distinct()
+
+
+def _block_links(asks: pd.DataFrame, others: pd.DataFrame, similarity: float) -> tuple[list[int], list[int]]:
+    """Links from each set asked to one set of each other component that has one, by counting shared elements along posting lists."""
+    elements, weights, owner = _flat(others)
+    order = np.argsort(elements, kind="stable")
+    elements, weights, owner = elements[order], weights[order], owner[order]
+    total = np.bincount(owner, weights, len(others))
+    component, nodes = others["component"].to_numpy(), others["node"].to_numpy()
+    a, b = [], []
+    for node, own, x, y in zip(asks["node"], asks["component"], asks["elements"], asks["weights"], strict=True):
+        e = np.frombuffer(x, np.uint64)
+        w = np.frombuffer(y, np.float32).astype(np.float64) if y else np.ones(len(e))
+        lo, hi = np.searchsorted(elements, e), np.searchsorted(elements, e, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([np.zeros(1, np.int64), np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(owner[at], np.minimum(weights[at], np.repeat(w, size)), len(others))
+        good = np.flatnonzero((both >= (similarity - _ROUNDING) * (total + w.sum() - both)) & (component != own))
+        _, first = np.unique(component[good], return_index=True)
+        a += [node] * len(first)
+        b += nodes[good[first]].tolist()
+    return a, b
+
+
+def _flat(sets: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    e = [np.frombuffer(x, np.uint64) for x in sets["elements"]]
+    w = [np.frombuffer(y, np.float32).astype(np.float64) if y else np.ones(len(x)) for x, y in zip(e, sets["weights"], strict=True)]
+    return np.concatenate(e), np.concatenate(w), np.repeat(np.arange(len(e)), [len(x) for x in e])
+
+
+def _shareable(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, weight, shareable) of the sets that can reach the similarity with another.
+
+    shareable is the weight without elements that no other set has. A pair shares the lesser of its
+    two at most, so a pair or set that this bound rules out has no link.
     """
-    labelled = members.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    labelled = keep_once(labelled, "labelled-members")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    sizes = labelled.join(mixed, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", "n").alias("main"))
-    minor = labelled.join(main, "bucket").where("component <> main").select(
-        "bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    met = minor.join(labelled.join(mixed, "bucket", "left_semi"), "bucket").where("cx <> component")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for elements, weights in batches:
+            e = [np.frombuffer(x, np.int64) for x in elements]
+            w = [np.frombuffer(y, np.float32).astype(np.float64) if y else np.ones(len(x)) for x, y in zip(e, weights, strict=True)]
+            yield pd.DataFrame({"e": pd.Series(e, dtype=object), "w": pd.Series(w, dtype=object)})
+
+    split = sets.select("node", F.pandas_udf(parts, "e array<bigint>, w array<double>")("elements", "weights").alias("p"))
+    flat = split.select("node", F.explode(F.arrays_zip("p.e", "p.w")).alias("x")).select("node", F.col("x.e").alias("e"), F.col("x.w").alias("w"))
+    alone = flat.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
+    own = alone.groupBy("node").agg(F.sum("w").alias("own"))
+    total = split.select("node", F.aggregate("p.w", F.lit(0.0), lambda a, x: a + x).alias("weight"))
+    return total.join(own, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shareable")).where(
+        F.col("shareable") >= similarity * F.col("weight") - 1e-6)
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity, computed on the whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
 
-    def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def of_sets(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for ea, eb, wa, wb in batches:
-            yield pd.Series([jaccard(*x) >= similarity - 1e-12 for x in zip(ea, eb, wa, wb, strict=True)], dtype=bool)
+            yield pd.Series([jaccard(*x) for x in zip(ea, eb, wa, wb, strict=True)], dtype=float)
 
-    same = F.pandas_udf(compare, "boolean")
-    return pairs.join(right, "b").join(left, "a").where(same("ea", "eb", "wa", "wb")).select("a", "b")
+    measure = F.pandas_udf(of_sets, "double")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", measure("ea", "eb", "wa", "wb").alias("similarity"))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:

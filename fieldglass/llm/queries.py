@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import credentials, fingerprints, language, minhash, mixing, packing, sharding, url_rules, vectors
+from fieldglass.llm import credentials, fingerprints, language, licences, minhash, mixing, packing, sharding, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,8 +130,8 @@ def shard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_credentials")
 def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = credentials.scan(table(spark, folder, "documents").select("doc_id", "text"))
-    names = ["assign", "access", "hex"]
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(names)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(i).eqNullSafe)).cast("long").alias(f"n_{k}") for i, k in enumerate(credentials.BASE_KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(credentials.span_text("base"), 256).alias("base_sha256"),
         credentials.span_text(F.concat("base", "linked")).alias("spans"))
@@ -228,3 +228,9 @@ def vector_copies(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_fingerprints")
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
+@query("op2_licences")
+def scan_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.families_of_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.withColumn("chance", F.round("chance", 6))
