@@ -278,40 +278,60 @@ def _crossing_links(able: DataFrame, components: DataFrame, sets: DataFrame, sim
     names = ["bucket", "i", "j", "role", "node", "component"]
     dealt = rows.select(*names).unionByName(columns.select(*names)).join(sets, "node")
 
-    def compare_block(block: pd.DataFrame) -> pd.DataFrame:
-        asks, others = block[block["role"] == 0], block[block["role"] == 1]
-        a, b = _block_links(asks, others, similarity)
-        return pd.DataFrame({"a": a, "b": b})
+    key = ["bucket", "i", "j"]
+    ordered = dealt.repartition(*key).sortWithinPartitions(*key).select(*key, "role", "node", "component", "elements", "weights")
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare_block, "a bigint, b bigint").distinct()
+    def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _runs(batches, 3):
+            a, b = _block_links(block, similarity)
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
 
+    return ordered.mapInPandas(compare_blocks, "a bigint, b bigint").distinct()
 
-def _block_links(asks: pd.DataFrame, others: pd.DataFrame, similarity: float) -> tuple[list[int], list[int]]:
+
+def _runs(batches: Iterator[pd.DataFrame], width: int) -> Iterator[list[tuple]]:
+    """Rows with the same first columns, which lie together."""
+    held, at = [], None
+    for batch in batches:
+        for row in batch.itertuples(index=False, name=None):
+            if row[:width] != at:
+                if held:
+                    yield held
+                held, at = [], row[:width]
+            held.append(row[width:])
+    if held:
+        yield held
+
+
+def _block_links(block: list[tuple], similarity: float) -> tuple[list[int], list[int]]:
     """Links from each set asked to one set of each other component that has one, by counting shared elements along posting lists."""
-    elements, weights, owner = _flat(others)
+    asks, others = [r for r in block if r[0] == 0], [r for r in block if r[0] == 1]
+    nodes, component = np.array([r[1] for r in others]), np.array([r[2] for r in others])
+    sets = [_decoded(*r[3:]) for r in others]
+    total = np.array([w.sum() for _, w in sets])
+    elements, weights = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
     order = np.argsort(elements, kind="stable")
     elements, weights, owner = elements[order], weights[order], owner[order]
-    total = np.bincount(owner, weights, len(others))
-    component, nodes = others["component"].to_numpy(), others["node"].to_numpy()
     a, b = [], []
-    for node, own, x, y in zip(asks["node"], asks["component"], asks["elements"], asks["weights"], strict=True):
-        e = np.frombuffer(x, np.uint64)
-        w = np.frombuffer(y, np.float32).astype(np.float64) if y else np.ones(len(e))
+    for _, node, own, *packed in asks:
+        e, w = _decoded(*packed)
         lo, hi = np.searchsorted(elements, e), np.searchsorted(elements, e, "right")
         size = hi - lo
         at = np.repeat(lo - np.concatenate([np.zeros(1, np.int64), np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         both = np.bincount(owner[at], np.minimum(weights[at], np.repeat(w, size)), len(others))
         good = np.flatnonzero((both >= (similarity - _ROUNDING) * (total + w.sum() - both)) & (component != own))
-        _, first = np.unique(component[good], return_index=True)
-        a += [node] * len(first)
-        b += nodes[good[first]].tolist()
+        if len(good):
+            _, first = np.unique(component[good], return_index=True)
+            a += [node] * len(first)
+            b += nodes[good[first]].tolist()
     return a, b
 
 
-def _flat(sets: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e = [np.frombuffer(x, np.uint64) for x in sets["elements"]]
-    w = [np.frombuffer(y, np.float32).astype(np.float64) if y else np.ones(len(x)) for x, y in zip(e, sets["weights"], strict=True)]
-    return np.concatenate(e), np.concatenate(w), np.repeat(np.arange(len(e)), [len(x) for x in e])
+def _decoded(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(elements, np.uint64)
+    return e, np.frombuffer(weights, np.float32).astype(np.float64) if weights else np.ones(len(e))
 
 
 def _shareable(sets: DataFrame, similarity: float) -> DataFrame:
