@@ -45,6 +45,7 @@ ACCOUNT = re.compile(
 ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+.:-]{1,30}://[^\s\"'<>]{4,200}", re.ASCII)
 SCOPE = 200  # code points between two parts of one credential
 
+OWN_COLUMNS = ("_row", "_weak", "_parts", "base", "linked")
 _DIGIT = re.compile(r"[0-9]")
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 PARTS = T.StructType([T.StructField("strong", T.ArrayType(SPAN)), T.StructField("weak", T.ArrayType(SPAN))])
@@ -114,10 +115,11 @@ def scan(docs: DataFrame, text_column: str = "text", scope: int = SCOPE) -> Data
     Kinds are positions in KINDS. `linked` holds the weak candidates that a complementary part
     confirms, `base` the strong parts. Null text is empty. Repeated rows and null ids are rows of
     their own: rows are told apart by a number given when the parts are written. Long texts are read
-    whole; their parts meet in buckets of one scope, so no document is one group.
+    whole; their parts meet in buckets of one scope, so no document is one group. Columns of `docs` with
+    the names of the operator's own are left out.
     """
     extract = F.pandas_udf(_extract, PARTS)
-    kept = [c for c in docs.columns if c != text_column]
+    kept = [c for c in docs.columns if c not in (text_column, *OWN_COLUMNS)]
     parts = docs.select(*kept, extract(F.coalesce(text_column, F.lit(""))).alias("_parts"))
     parts = keep_once(parts.select(
         *kept, F.monotonically_increasing_id().alias("_row"), F.col("_parts.strong").alias("base"), F.col("_parts.weak").alias("_weak"),

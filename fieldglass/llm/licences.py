@@ -32,6 +32,7 @@ COMMON = (
     "a all an and any are as at be by can do for from he in is it its may no not of on or she so that the their they this to "
     "was were which will with you your"
 ).split()
+OWN_COLUMNS = ("_row", "_paragraphs", "licences", "paragraphs", "confirmed", "chance")
 SEPARATOR = r"[^\p{L}\p{N}.]+"
 
 
@@ -145,13 +146,13 @@ def scan(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[Data
 
     A paragraph without any n-gram of the model is unknown by its intercepts and not listed. Null text
     has no paragraphs. Texts are read whole; only paragraphs with a word that some n-gram needs are
-    written and scored.
+    written and scored. Columns of `docs` with the names of the operator's own are left out.
     """
     spark = docs.sparkSession
     anchored = lambda p: F.exists(F.split(F.lower(p), SEPARATOR), lambda w: F.rtrim(w, F.lit(".")).isin(model.anchors))
     text = F.coalesce(F.col(text_column), F.lit(""))
     numbered = F.filter(F.transform(paragraphs_of(text), lambda p, i: F.struct(i.alias("position"), p.alias("text"))), lambda s: anchored(s["text"]))
-    kept = [c for c in docs.columns if c != text_column]
+    kept = [c for c in docs.columns if c not in (text_column, *OWN_COLUMNS)]
     rows = keep_once(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), F.when(
         anchored(text), numbered).alias("_paragraphs")), "licence-rows")
     found = rows.select("_row", F.explode("_paragraphs").alias("p")).select("_row", "p.position", "p.text").withColumn("grams", grams_of(words_of("text")))
