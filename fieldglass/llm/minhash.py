@@ -33,7 +33,7 @@ ROWS = 6  # a pair at 0.8 meets in one of 24 bands of 6 with probability 0.9993
 _ARRIVALS = 4  # darts drawn together for one region
 _UNIT = 2.0**-53
 _ROUNDING = 1e-12
-BLOCK = 1024  # sets on each side of a comparison within a bucket
+BLOCK = 256  # sets on each side of a comparison within a bucket
 
 
 def shingles(words: np.ndarray, places: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def _crossing_links(able: DataFrame, components: DataFrame, sets: DataFrame, sim
 
     In each bucket the component with most members is left whole; the others' members are compared
     with all members of other components. A bucket of one component, however large, has nothing to
-    compare. The comparison runs in blocks of at most about BLOCK sets a side, so a bucket of any
+    compare. The comparison runs in blocks of about BLOCK sets a side, so a bucket of any
     size is no single task, and gives one link per set and other component of a block.
     """
     labelled = keep_once(
