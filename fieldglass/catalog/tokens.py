@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fieldglass.catalog.base import query, table
 from fieldglass.functions import clock as ck, text as tx
 from fieldglass.operators import fusion, tokens as tk
-from fieldglass.sources.tables import spread_for_cpu
 
 CODES = ",".join(tx.TEAM_CODES)
 FRAME = 12
@@ -24,7 +23,7 @@ TOKEN = f"""case (length(w) * 7 + i) % 11
 
 
 def words(spark, folder):
-    return spread_for_cpu(table(spark, folder, "documents")).select(
+    return table(spark, folder, "documents").repartition("doc_id").select(
         "doc_id", F.split("text", "[ \\n\\t\\r]+").alias("words"),
     )
 

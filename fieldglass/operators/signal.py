@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldglass.operators.timeline import asof_lookup, ordered_position, time_bucket, with_halo
+from fieldglass.operators.timeline import asof_lookup, ordered_position, same_group, time_bucket, with_halo
 from fieldglass.session import materialize
 
 # Sample scale, baseline length and trigger limits.
@@ -21,7 +20,6 @@ COOLDOWN = 20.0
 HOP_SECONDS = 0.5
 
 BLOCK_ROWS = 50_000
-MAX_ISLAND = 10_000
 
 
 def array_rms(samples: Column, scale: float = SAMPLE_SCALE) -> Column:
@@ -110,7 +108,7 @@ def islands(df: DataFrame, keys: Sequence[str], time: str, gap: float, width: fl
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = per_bucket.select(*keys, "_bucket", F.max("_max").over(earlier).alias("_carry"))
     inside = W.partitionBy(*keys, "_bucket").orderBy(time)
-    gapped = rows.join(carried, [*keys, "_bucket"]).withColumn(
+    gapped = same_group(rows, carried, [*keys, "_bucket"]).withColumn(
         "_prev", F.coalesce(F.lag(time).over(inside), "_carry"),
     )
     starts = gapped.withColumn(
@@ -120,78 +118,36 @@ def islands(df: DataFrame, keys: Sequence[str], time: str, gap: float, width: fl
     carried_start = last_start.select(*keys, "_bucket", F.max("_s").over(earlier).alias("_open"))
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        starts.join(carried_start, [*keys, "_bucket"])
+        same_group(starts, carried_start, [*keys, "_bucket"])
         .withColumn("island", F.coalesce(F.max("_start").over(so_far), "_open"))
         .select(*df.columns, "island")
     )
 
 
-def _fold(times: Column, gap: float) -> Column:
-    """Greedy walk over sorted times: keep a time more than `gap` after the last kept one."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(
-        times, start,
-        lambda kept, t: F.when(
-            F.coalesce(t > F.try_element_at(kept, F.lit(-1)) + gap, F.lit(True)),
-            F.concat(kept, F.array(t)),
-        ).otherwise(kept),
-    )
-
-
-def _reachable(
-    times: DataFrame, keys: Sequence[str], time: str, gap: float, width: float, span: float,
-) -> DataFrame:
-    """The greedy walk by doubling: which times does the chain from each run's first time reach?
-
-    Every time points to the first one more than `gap` later. Joining the pointers with themselves
-    doubles the step, so about log2(span / gap) equality joins reach all kept times, with no group
-    ever held in one task.
-    """
-    keys = list(keys)
-    probes = times.select(*keys, "island", time, (F.col(time) + gap).alias("_from"))
-    nxt = asof_lookup(
-        probes, times.select(*keys, "island", time), [*keys, "island"], "_from", time, [], "_next", width,
-        forward=True, strict=True,
-    ).where(F.col("_next").isNotNull()).select(
-        *keys, "island", F.col(time).alias("_at"), F.col("_next.time").alias("_to"),
-    )
-    nxt = materialize(nxt, "cooldown-step")
-    reached = times.groupBy(*keys, "island").agg(F.min(time).alias("_at"))
-    for _ in range(max(1, math.ceil(math.log2(max(span / gap, 1) + 2)))):
-        moved = reached.join(nxt, [*keys, "island", "_at"]).select(*keys, "island", F.col("_to").alias("_at"))
-        reached = materialize(reached.unionByName(moved).distinct(), "cooldown-reached")
-        second = nxt.select(*keys, "island", F.col("_at").alias("_to"), F.col("_to").alias("_far"))
-        nxt = materialize(
-            nxt.join(second, [*keys, "island", "_to"]).select(
-                *keys, "island", "_at", F.col("_far").alias("_to"),
-            ), "cooldown-step",
-        )
-    return reached.select(*keys, F.col("_at").alias(time))
-
-
-def cooldown(
-    df: DataFrame, keys: Sequence[str], time: str, gap: float = COOLDOWN, max_island: int = MAX_ISLAND,
-) -> DataFrame:
+def cooldown(df: DataFrame, keys: Sequence[str], time: str, gap: float = COOLDOWN) -> DataFrame:
     """Keep a trigger only when more than `gap` seconds after the last kept one of its key.
 
-    The rule is sequential, but a pause longer than `gap` always restarts it. Runs between pauses
-    are therefore independent and are walked side by side. A run too long for one task is walked
-    by doubling instead. Returns the kept (key, time) rows.
+    The rule is sequential, but a pause longer than `gap` always restarts it, so every run between
+    pauses begins with a kept time. Every time points to the first one more than `gap` later, and the
+    kept times are those that the pointers reach from the runs' first times. Joining the pointers
+    with themselves doubles the step, until no pointer is left inside a run: a few equality joins for
+    runs of any length, and no group held in one task. Returns the distinct kept (key, time) rows;
+    null keys are a group of their own, null times are no triggers.
     """
     keys = list(keys)
+    group = [*keys, "island"]
     times = df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
     runs = materialize(islands(times, keys, time, gap, 64 * gap), "cooldown-runs")
-    sizes = runs.groupBy(*keys, "island").agg(
-        F.count(F.lit(1)).alias("_n"), (F.max(time) - F.min(time)).alias("_span"),
-    )
-    long_span = sizes.where(F.col("_n") > max_island).agg(F.max("_span")).first()[0]
-    short = runs
-    if long_span is not None:
-        long_runs = sizes.where(F.col("_n") > max_island).select(*keys, "island")
-        short = runs.join(long_runs, [*keys, "island"], "left_anti")
-    walked = short.groupBy(*keys, "island").agg(F.sort_array(F.collect_list(time)).alias("_times"))
-    kept = walked.select(*keys, F.explode(_fold(F.col("_times").cast("array<double>"), gap)).alias(time))
-    if long_span is None:
-        return kept
-    rest = runs.join(long_runs, [*keys, "island"], "left_semi")
-    return kept.unionByName(_reachable(rest, keys, time, gap, 64 * gap, long_span))
+    probes = runs.select(*group, time, (F.col(time) + gap).alias("_from"))
+    pointers = asof_lookup(
+        probes, runs.select(*group, time), group, "_from", time, [], "_next", 64 * gap, forward=True, strict=True,
+    ).where(F.col("_next").isNotNull()).select(*group, F.col(time).alias("_at"), F.col("_next.time").alias("_to"))
+    pointers = materialize(pointers, "cooldown-step")
+    reached = runs.groupBy(*group).agg(F.min(time).alias("_at"))
+    while not pointers.isEmpty():
+        moved = same_group(reached, pointers, [*group, "_at"]).select(*group, F.col("_to").alias("_at"))
+        reached = materialize(reached.unionByName(moved).distinct(), "cooldown-reached")
+        second = pointers.select(*group, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        pointers = materialize(
+            same_group(pointers, second, [*group, "_to"]).select(*group, "_at", F.col("_far").alias("_to")), "cooldown-step")
+    return reached.select(*keys, F.col("_at").alias(time))

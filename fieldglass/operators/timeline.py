@@ -87,6 +87,13 @@ def running_intervals(
     )
 
 
+def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on keys in which nulls are a group of their own, as in windows and aggregates."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def time_bucket(time: Column, width: float) -> Column:
     return F.floor(time / F.lit(float(width)))
 
@@ -98,7 +105,8 @@ def ordered_position(
 
     `bucket` must not decrease along the order. Rows are numbered inside (key, bucket) and shifted
     by the size of the earlier buckets, so a key with very many rows is numbered by many tasks;
-    only the table of bucket sizes is ordered per key.
+    only the table of bucket sizes is ordered per key. Null keys are a group of their own, null
+    buckets come first.
     """
     bucketed = df.withColumn("_bucket", bucket)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -106,7 +114,7 @@ def ordered_position(
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
+        same_group(bucketed, offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_offset")
     )
@@ -135,7 +143,8 @@ def asof_lookup(
 ) -> DataFrame:
     """For each probe the last fact at or before its time, or the first at or after when `forward`.
 
-    With `strict` a fact at exactly the probe's time does not count.
+    With `strict` a fact at exactly the probe's time does not count. Null keys are a group of their
+    own; a probe with a null time has no match and comes back with null.
 
     The fact's columns come back as struct `out`, null without a match. Probes and facts meet in
     (key, time bucket) groups; the last fact of the earlier buckets is carried in from a table with
@@ -168,7 +177,7 @@ def asof_lookup(
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
-        rows.join(carried, [*keys, "_bucket"])
+        same_group(rows, carried, [*keys, "_bucket"])
         .withColumn("_in", F.last("_fact", ignorenulls=True).over(inside))
         .where(F.col("_kind") == 1)
         .select("_probe.*", F.coalesce("_in", "_carry").alias(out))

@@ -43,15 +43,6 @@ def union_seasons(frames: Sequence[DataFrame], types: dict[str, str] | None = No
     return out
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer tasks than cores over all cores, before costly work.
-
-    A scan of many files or row groups already has enough tasks and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def nan_columns_to_null(df: DataFrame) -> DataFrame:
     """Floating columns written by other tools may hold NaN for a missing value."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -80,18 +80,36 @@ def test_ema_of_long_series_equals_pandas(spark):
         assert (r[-1] is None and np.isnan(e)) or r[-1] == pytest.approx(e, abs=1e-9)
 
 
-def test_both_ema_forms_agree(spark):
+def test_ema_of_several_columns_equals_pandas(spark):
     both = panel(spark, [1.0, None, 4.0, 2.0]).unionByName(panel(spark, [None, 3.0, 5.0], 2025)).withColumn("y", F.col("x") * 2)
+    pdf = both.toPandas().sort_values(["season", "week"])
     for reset in (True, False):
-        short = rolling.rolling_ema(both, ["x", "y"], reset_each_season=reset)
-        blocks = rolling.rolling_ema(both, ["x", "y"], reset_each_season=reset, any_length=True)
-        near = [[r and pytest.approx(r) for r in row[-2:]] for row in rows_of(short, "season", "week")]
-        assert near == [list(row[-2:]) for row in rows_of(blocks, "season", "week")]
-
-
-def test_ema_refuses_overflow(spark):
-    with pytest.raises(Exception, match="rolling_ema_blocks"):
-        rolling.rolling_ema(panel(spark, [1.0] * 2000), ["x"]).collect()
+        groups = pdf.groupby("season")["x"] if reset else [(0, pdf["x"])]
+        expected = [v for _, x in groups for v in x.shift(1).ewm(span=5, min_periods=1).mean()]
+        for r, e in zip(rows_of(rolling.rolling_ema(both, ["x", "y"], reset_each_season=reset), "season", "week"), expected, strict=True):
+            assert (r[-2] is None and np.isnan(e)) or (r[-2], r[-1]) == pytest.approx((e, 2 * e))
+
+
+def test_ema_has_no_longest_series_and_keeps_null_keys(spark):
+    assert rolling.rolling_ema(panel(spark, [1.0] * 2000), ["x"]).count() == 2000
+    df = spark.createDataFrame([(None, 2024, 1, "a", 1.0), (None, 2024, 2, "b", 3.0), ("T", None, 1, "c", 5.0), ("T", 2024, None, "d", 7.0), ("T", 2024, 1, "e", 9.0)],
+                               "team string, season int, week int, game_id string, x double")
+    out = {r["game_id"]: r["x_ema5"] for r in rolling.rolling_ema(df, ["x"]).collect()}
+    assert out == {"a": None, "b": 1.0, "c": None, "d": None, "e": 7.0}
+
+
+def test_ridge_of_many_teams_solves_the_normal_equations():
+    rng = np.random.default_rng(3)
+    size = 5000
+    cells = pd.DataFrame({"off": rng.integers(0, size, 40_000), "def": rng.integers(0, size, 40_000), "n": rng.integers(1, 9, 40_000)})
+    cells["off"], cells["def"] = "T" + cells["off"].astype(str), "T" + cells["def"].astype(str)
+    cells["total"] = cells["n"] * rng.normal(size=len(cells))
+    fit = ridge.solve_cells(cells, 1.0).set_index("team")
+    attack, defence = cells["off"].map(fit["adj_off_epa"]), cells["def"].map(fit["adj_def_epa"])
+    intercept = ((cells["total"] - cells["n"] * (attack + defence)).sum()) / cells["n"].sum()
+    left = cells["total"] - cells["n"] * (intercept + attack + defence)
+    assert np.abs(left.groupby(cells["off"]).sum() - fit["adj_off_epa"]).max() < 1e-8
+    assert np.abs(left.groupby(cells["def"]).sum() - fit["adj_def_epa"]).max() < 1e-8
 
 
 def plays(spark, changes=None, weeks=4, teams=4, seed=0):

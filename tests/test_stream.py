@@ -27,17 +27,28 @@ def test_cooldown_of_the_known_case(spark):
     assert sorted(r["t"] for r in signal.cooldown(df, ["k"], "t", 20.0).collect()) == [1.0, 21.5, 41.6, 62.0]
 
 
-@pytest.mark.parametrize("max_island", [10_000, 5])
-def test_cooldown_equals_the_greedy_walk(spark, max_island):
+def test_cooldown_equals_the_greedy_walk(spark):
     rng = random.Random(11)
     rows = {k: [rng.uniform(0, 900) for _ in range(n)] + [5000.0 + i * 3 for i in range(n)] for k, n in (("a", 200), ("b", 30), ("c", 3))}
     df = spark.createDataFrame([(k, t) for k, ts in rows.items() for t in ts], TIMES)
     got = {}
-    for r in signal.cooldown(df, ["k"], "t", 20.0, max_island=max_island).collect():
+    for r in signal.cooldown(df, ["k"], "t", 20.0).collect():
         got.setdefault(r["k"], []).append(r["t"])
     assert {k: sorted(v) for k, v in got.items()} == {k: kept(v, 20.0) for k, v in rows.items()}
 
 
+def test_null_keys_and_times_lose_no_row(spark):
+    scores = spark.createDataFrame([(None, 0.0, 0, 0), (None, 11.0, 7, 0), ("a", 0.0, 0, 0), ("a", 40.0, 0, 0)], "k string, t double, away_score int, home_score int")
+    triggers = spark.createDataFrame([(None, 5.0), ("a", None), ("b", 5.0), ("a", 5.0)], TIMES)
+    live = {(r["k"], r["t"]): r["confirmed"] for r in highlights.confirm_by_scores(triggers, scores, ["k"]).collect()}
+    assert live == {(None, 5.0): True, ("a", None): False, ("b", 5.0): False, ("a", 5.0): False}
+    assert highlights.confirm_at_points(triggers, scores, ["k"]).count() == 4
+    energy = spark.createDataFrame([(None, 1.0, 1, 0.5), (None, 2.0, 2, 0.5), ("a", None, 3, 0.5)], "k string, t double, id long, rms double")
+    out = signal.rolling_baseline(energy, ["k"], ["t", "id"], "rms", timeline.time_bucket(F.col("t"), 37.0), rows=1)
+    assert {r["id"]: r["baseline"] for r in out.collect()} == {1: None, 2: 0.5, 3: None}
+    assert {(r["k"], r["t"]) for r in signal.cooldown(triggers.union(triggers), ["k"], "t", 20.0).collect()} == {(None, 5.0), ("b", 5.0), ("a", 5.0)}
+
+
 @pytest.mark.parametrize("partitions", ["1", "8"])
 def test_rolling_baseline_is_exact_across_blocks(spark, partitions):
     rng = random.Random(12)
