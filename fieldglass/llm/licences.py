@@ -10,7 +10,7 @@ paragraph, compared by n-grams.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +23,13 @@ COPIES = 24  # disturbed copies of each notice
 SHUFFLED = 6  # copies of each longer notice with its words in another order, taken as unknown
 SAMPLED_PER_TEXT = 3
 TRAIN_PARAGRAPHS = 4_000  # paragraphs of the corpus, on average, taken as unknown
-MOST_FEATURES = 8_192
 CONFIRMED = 0.6  # share of a notice's n-grams in the paragraph
 LEAST_CHANCE = 0.5
 QUIET = 0.999  # share of held-out unknown paragraphs that must stay below the least chance
 # Words that say nothing about licences when alone in an n-gram.
 COMMON = (
-    "a all an and any are as at be by can do for from he in is it its may no not of on or she so that the their they this to "
-    "was were which will with you your"
+    "a above all an and any are as at be been but by can do for from had has have he his if in is it its may no not of on one only "
+    "or other part she so that the their these they this to under use used was were when which will with work you your"
 ).split()
 OWN_COLUMNS = ("_row", "_paragraphs", "licences", "paragraphs", "confirmed", "chance")
 SEPARATOR = r"[^\p{L}\p{N}.]+"
@@ -69,6 +68,12 @@ def _telling(grams: Column) -> Column:
     return F.filter(grams, lambda g: F.size(F.array_except(F.split(g, " "), common)) > 0)
 
 
+def _vocabulary(spark: SparkSession) -> list[str]:
+    """The telling n-grams of the notices: as many features as the fixed notices give."""
+    grams = spark.createDataFrame(TEMPLATES, "family string, text string").select(F.explode(_telling(grams_of(words_of("text")))).alias("g"))
+    return sorted(r["g"] for r in grams.distinct().collect())
+
+
 def paragraphs_of(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\n+"), lambda p: F.trim(p) != "")
 
@@ -122,8 +127,9 @@ def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAI
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = keep_once(labelled.select(label.alias("label"), grams_of(words_of("text")).alias("grams"), F.xxhash64("text").alias("h")), "licence-training")
     held = F.pmod(F.col("h"), F.lit(5)) == 0
-    notices = rows.where(F.col("label") < len(families) - 1).withColumn("grams", _telling(F.col("grams")))
-    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MOST_FEATURES, minDF=2.0, binary=True).fit(notices)
+    notices = rows.where(F.col("label") < len(families) - 1)
+    counter = CountVectorizerModel.from_vocabulary(_vocabulary(spark), inputCol="grams", outputCol="features", minTF=1.0)
+    counter.setBinary(True)
     data = counter.transform(rows)
     # Unknown paragraphs weigh as much together as the notices do.
     ratio = notices.count() / max(1, rows.where(F.col("label") == len(families) - 1).count())
@@ -142,37 +148,45 @@ def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAI
 
 def scan(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, paragraphs). Rows are those of `docs` without the text, with `_row`; paragraphs hold what was found:
-    `_row`, position, text, family, chance, containment, confirmed.
+    `_row`, position (number of the paragraph that is not blank, from 0), family, chance, containment, confirmed.
 
     A paragraph without any n-gram of the model is unknown by its intercepts and not listed. Null text
-    has no paragraphs. Texts are read whole; only paragraphs with a word that some n-gram needs are
-    written and scored. Columns of `docs` with the names of the operator's own are left out.
+    has no paragraphs. Texts are read whole; of each paragraph only its n-grams of the model are
+    written. Columns of `docs` with the names of the operator's own are left out.
     """
     spark = docs.sparkSession
-    anchored = lambda p: F.exists(F.split(F.lower(p), SEPARATOR), lambda w: F.rtrim(w, F.lit(".")).isin(model.anchors))
+
+    def anchored(p: Column) -> Column:
+        return F.exists(F.split(F.lower(p), SEPARATOR), lambda w: F.rtrim(w, F.lit(".")).isin(model.anchors))
+
+    def hits(p: Column) -> Column:
+        empty = F.array().cast("array<string>")
+        return F.when(anchored(p), F.filter(grams_of(words_of(p)), lambda g: g.isin(list(model.weights)))).otherwise(empty)
+
     text = F.coalesce(F.col(text_column), F.lit(""))
-    numbered = F.filter(F.transform(paragraphs_of(text), lambda p, i: F.struct(i.alias("position"), p.alias("text"))), lambda s: anchored(s["text"]))
+    listed = F.filter(F.transform(paragraphs_of(text), lambda p, i: F.struct(i.alias("position"), hits(p).alias("grams"))), lambda s: F.size(s["grams"]) > 0)
     kept = [c for c in docs.columns if c not in (text_column, *OWN_COLUMNS)]
-    rows = keep_once(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), F.when(
-        anchored(text), numbered).alias("_paragraphs")), "licence-rows")
-    found = rows.select("_row", F.explode("_paragraphs").alias("p")).select("_row", "p.position", "p.text").withColumn("grams", grams_of(words_of("text")))
+    rows = keep_once(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), F.when(anchored(text), listed).alias("_paragraphs")), "licence-rows")
+    found = rows.select("_row", F.explode("_paragraphs").alias("p")).select("_row", "p.position", "p.grams")
     n = len(model.families)
     weights = spark.createDataFrame(sorted(model.weights.items()), "gram string, w array<double>")
-    # The model has MOST_FEATURES rows at most.
+    # The model has as many rows as the fixed notices have n-grams.
     scored = found.select("_row", "position", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("_row", "position").agg(
-        F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(n)]).alias("sums"))
+        F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(n)]).alias("sums"), F.collect_set("gram").alias("grams"))
     logits = F.zip_with("sums", F.array(*map(F.lit, model.intercepts)), lambda a, b: a + b)
     top = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     names = F.array(*map(F.lit, model.families))
-    judged = scored.withColumn("logits", logits).select("_row", "position", F.get(names, F.array_position("logits", top).cast("int") - 1).alias("family"), (1 / total).alias("chance"))
+    judged = scored.withColumn("logits", logits).select(
+        "_row", "position", "grams", F.get(names, F.array_position("logits", top).cast("int") - 1).alias("family"), (1 / total).alias("chance"))
     known = judged.where((F.col("family") != UNKNOWN) & (F.col("chance") > model.least))
-    notices = spark.createDataFrame(TEMPLATES, "family string, text string").select("family", grams_of(words_of("text")).alias("notice"))
-    of_family = notices.groupBy("family").agg(F.collect_list("notice").alias("notices"))
-    shown = known.join(found, ["_row", "position"]).join(F.broadcast(of_family), "family").withColumn("containment", F.array_max(F.transform(
+    notices = spark.createDataFrame(TEMPLATES, "family string, text string").select("family", F.filter(
+        _telling(grams_of(words_of("text"))), lambda g: g.isin(list(model.weights))).alias("notice"))
+    of_family = notices.where(F.size("notice") > 0).groupBy("family").agg(F.collect_list("notice").alias("notices"))
+    shown = known.join(F.broadcast(of_family), "family").withColumn("containment", F.array_max(F.transform(
         "notices", lambda g: F.size(F.array_intersect(g, F.col("grams"))) / F.size(g))))
     return rows.drop("_paragraphs"), shown.select(
-        "_row", "position", "text", "family", "chance", "containment", (F.col("containment") >= CONFIRMED).alias("confirmed"))
+        "_row", "position", "family", "chance", "containment", (F.col("containment") >= CONFIRMED).alias("confirmed"))
 
 
 def families_of_documents(docs: DataFrame, text_column: str = "text", model: Model | None = None) -> DataFrame:
