@@ -183,8 +183,9 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
         now = size[todo].min()
         part = np.flatnonzero(todo & (size == now))
         left = sketch(*_rows_of(*a, part), now).minus(sketch(*_rows_of(*b, part), now))
-        # Cells' counts spread with the number of differences, which tells the next size to try.
-        guess = (left.counts.reshape(len(part), -1) ** 2).sum(axis=1) / HASHES
+        # Around their mean, cells' counts spread with the number of differences, which tells the next size to try.
+        counts = left.counts.reshape(len(part), HASHES, -1)
+        guess = ((counts - counts.mean(axis=2, keepdims=True)) ** 2).sum(axis=(1, 2)) / HASHES
         rows, values, signs, clean = left.peel()
         order = np.argsort(rows, kind="stable")
         rows, values, signs = rows[order], values[order], signs[order]
