@@ -252,16 +252,64 @@ def e5(spark, folder):
     return out.withColumns({"season": F.col("season").cast("int"), "week": F.col("week").cast("int")})
 
 
-@query("c10_profile_of_starter", f"""WITH {PANEL_CTE.replace(STATS_CTE, STARTERS_CTE)}
-SELECT team, season, week, passer_player_id, 'mild' AS weather_bucket, round(qb_weather_epa, 6) AS qb_weather_epa,
+@query("c10_profile_of_starter", f"""WITH {PANEL_CTE.replace(STATS_CTE, STARTERS_CTE)},
+played AS (SELECT DISTINCT posteam AS team, season, week, game_id FROM plays WHERE posteam IS NOT NULL)
+SELECT team, season, week, game_id, passer_player_id, weather_bucket, round(qb_weather_epa, 6) AS qb_weather_epa,
   round(qb_weather_cpoe, 6) AS qb_weather_cpoe
-FROM starters LEFT JOIN (SELECT * FROM panel WHERE weather_bucket = 'mild') USING (passer_player_id, season, week)""")
+FROM played LEFT JOIN starters USING (team, season, week) LEFT JOIN buckets USING (game_id)
+  LEFT JOIN (SELECT passer_player_id, weather_bucket, season, week, qb_weather_epa, qb_weather_cpoe FROM panel)
+  USING (passer_player_id, weather_bucket, season, week)""")
 def c10(spark, folder):
     p, g = plays(spark, folder), games(spark, folder)
     found = starters.likely_starters(passer_game_stats(p), _points(spark, folder), injuries(spark, folder))
     panel = shrinkage.shrunk_panel(passer_weather_games(p, g))
-    joined = shrinkage.with_profile(found.withColumn("weather_bucket", F.lit("mild")), panel)
-    return _panel_rounded(joined.drop("passer_player_name", "confidence"))
+    played = p.where(F.col("posteam").isNotNull()).select(F.col("posteam").alias("team"), "season", "week", "game_id").distinct()
+    rows = played.join(found, ["team", "season", "week"], "left").join(weather_bucket(weather_features(g)), "game_id", "left")
+    joined = shrinkage.with_profile(rows, panel)
+    return _panel_rounded(joined.select(
+        "team", "season", "week", "game_id", "passer_player_id", "weather_bucket", "qb_weather_epa", "qb_weather_cpoe"))
+
+
+def _residuals(cells, rated):
+    """What each team's normal equation leaves over, for fitted ratings and the cells they were fitted on."""
+    known = cells.where(F.col("n") > 0)
+    attack = rated.select(F.col("team").alias("off"), F.col("adj_off_epa").alias("a"))
+    defence = rated.select(F.col("team").alias("def"), F.col("adj_def_epa").alias("d"))
+    joined = known.join(attack, "off", "left").join(defence, "def", "left")
+    effect = F.coalesce("a", F.lit(0.0)) + F.coalesce("d", F.lit(0.0))
+    base = joined.agg((F.sum(F.col("total") - F.col("n") * effect) / F.sum("n"))).scalar()
+    left = joined.select("off", "def", "a", "d", (F.col("total") - F.col("n") * (base + effect)).alias("left"))
+    sides = [
+        left.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("team")).agg(
+            (F.sum("left") - ridge.ALPHA * F.max(value)).alias("residual")).withColumn("side", F.lit(side))
+        for side, value in (("off", "a"), ("def", "d"))]
+    return sides[0].unionByName(sides[1]).select("team", "side", (F.abs("residual") < 1e-6).alias("solved"))
+
+
+def _residual_sql(past: str) -> str:
+    return f"""{WITH_CLEAN}, past AS (SELECT * FROM clean WHERE {past}),
+cells AS (SELECT posteam AS off, defteam AS def FROM past GROUP BY ALL HAVING count(epa) > 0)
+SELECT DISTINCT off AS team, 'off' AS side, true AS solved FROM cells WHERE off IS NOT NULL
+UNION ALL SELECT DISTINCT def, 'def', true FROM cells WHERE def IS NOT NULL"""
+
+
+@query("d12_normal_equations", _residual_sql("""(season, week) < (2000, 6) AND (season, week) IN (
+  SELECT (season, week) FROM (SELECT DISTINCT season, week FROM clean WHERE (season, week) < (2000, 6))
+  ORDER BY season DESC, week DESC LIMIT 32)"""))
+def d12_normal_equations(spark, folder):
+    """Ridge ratings have no closed SQL form; that they solve their normal equations has."""
+    clean = clean_plays(plays(spark, folder))
+    cells = timeline.within_recent(ridge.play_cells(clean.where(timeline.before(2000, 6))), 32)
+    return _residuals(cells.groupBy("off", "def").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), ridge.opponent_adjusted(clean, 2000, 6))
+
+
+@query("c6_normal_equations", _residual_sql("(season, week) < (1995, 3)"))
+def c6_normal_equations(spark, folder):
+    clean = clean_plays(plays(spark, folder))
+    cells = ridge.play_cells(clean.where(timeline.before(1995, 3)))
+    return _residuals(
+        cells.groupBy("off", "def").agg(F.sum("n").alias("n"), F.sum("total").alias("total")),
+        ridge.opponent_adjusted(clean, 1995, 3, lookback=None))
 
 
 @query("b12_weather_bucket", f"WITH {STATS_CTE} SELECT game_id, weather_bucket FROM buckets")

@@ -101,14 +101,13 @@ def c4(spark, folder):
 
 
 @query("c5_burden_or_zero", f"""{WITH_INJURIES}, games AS ({GAMES_SQL}),
-burden AS ({BURDEN_SQL.replace("FROM injuries", "FROM injuries WHERE report_status = 'Out'")}),
+burden AS ({BURDEN_SQL}),
 rows_ AS (SELECT DISTINCT home_team AS team, season, week FROM games)
 SELECT team, season, week, coalesce(injury_burden, 0) AS injury_burden, coalesce(players_out, 0) AS players_out,
   coalesce(qb_out, 0) AS qb_out FROM rows_ LEFT JOIN burden USING (team, season, week)""")
 def c5(spark, folder):
     rows = games(spark, folder).select(F.col("home_team").alias("team"), "season", "week").distinct()
-    out_only = injuries(spark, folder).where(F.col("report_status") == "Out")
-    return inj.with_injury_burden(rows, inj.injury_burden(out_only))
+    return inj.with_injury_burden(rows, inj.injury_burden(injuries(spark, folder)))
 
 
 @query("c11_team_rows", f"""{WITH_GAMES} SELECT game_id, season, week, home_team AS team, 'home' AS side FROM games
