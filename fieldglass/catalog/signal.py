@@ -92,6 +92,14 @@ def b37(spark, folder):
     return first.select("stream", "interval", "id")
 
 
+@query("b37_rate_limit", f"""WITH RECURSIVE s AS ({SIGNAL_SQL}),
+kept AS (SELECT stream, min(t) AS t FROM s GROUP BY stream
+  UNION ALL SELECT k.stream, min(s.t) AS t FROM kept k JOIN s ON s.stream = k.stream AND s.t >= k.t + 20 GROUP BY k.stream, k.t)
+SELECT stream, t, min(id) AS id FROM s JOIN kept USING (stream, t) GROUP BY stream, t""")
+def b37_rate_limit(spark, folder):
+    return sp.rate_limit(signal(spark, folder), ["stream"], "t", 20.0, tie="id").select("stream", "t", "id")
+
+
 @query("e11_last_points", """SELECT event_type, event_id FROM (SELECT event_type, event_id,
   row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 300""")
 def e11(spark, folder):
@@ -187,3 +195,29 @@ found AS (SELECT kept.clip_id, kept.t, coalesce(b.v IS NOT NULL AND f.v IS NOT N
 def i8(spark, folder):
     found = hl.find_highlights(clip_energy(spark, folder), clip_scores(spark, folder), ["clip_id"], width=50.0)
     return found.select("clip_id", "t", "confirmed", "clip_start", "clip_end")
+
+
+BATCH_SQL = HIGHLIGHT_SQL[:HIGHLIGHT_SQL.index("b AS (SELECT tr.clip_id")] + """measured AS (
+  SELECT clip_id, t, arg_min({'rms': rms, 'baseline': baseline}, id) AS m FROM cand GROUP BY ALL),
+b AS (SELECT tr.clip_id, tr.t, arg_max({'a': s.away_score, 'h': s.home_score}, {'t': s.t, 'id': s.id}) AS v FROM kept tr JOIN sc s
+  ON s.clip_id = tr.clip_id AND s.t <= greatest(0, tr.t - 8) GROUP BY ALL),
+f AS (SELECT tr.clip_id, tr.t, arg_max({'a': s.away_score, 'h': s.home_score}, {'t': s.t, 'id': s.id}) AS v FROM kept tr JOIN sc s
+  ON s.clip_id = tr.clip_id AND s.t <= tr.t + 8 GROUP BY ALL),
+found AS (SELECT kept.clip_id, kept.t, m.rms AS rms, m.baseline AS baseline, m.rms / m.baseline AS ratio,
+    coalesce(b.v.a IS NOT NULL AND f.v.a IS NOT NULL AND (b.v.a IS DISTINCT FROM f.v.a OR b.v.h IS DISTINCT FROM f.v.h), false) AS confirmed
+  FROM kept JOIN measured ON measured.clip_id = kept.clip_id AND measured.t = kept.t
+  LEFT JOIN b ON b.clip_id = kept.clip_id AND b.t = kept.t LEFT JOIN f ON f.clip_id = kept.clip_id AND f.t = kept.t)"""
+
+
+@query("i8_recorded_highlights", f"""{BATCH_SQL} SELECT clip_id, t, round(rms, 6) AS rms, round(baseline, 6) AS baseline,
+  round(ratio, 6) AS ratio, confirmed FROM found""")
+def i8_recorded(spark, folder):
+    found = hl.find_batch_highlights(clip_energy(spark, folder), clip_scores(spark, folder), ["clip_id"], width=50.0)
+    return rounded(found.select("clip_id", "t", "rms", "baseline", "ratio", "confirmed"), "rms", "baseline", "ratio")
+
+
+@query("i6_highlight_records", f"""{HIGHLIGHT_SQL} SELECT round(t, 1) AS trigger_time_sec, confirmed,
+  'highlight_' || CAST(CAST(round_even(t, 0) AS BIGINT) AS VARCHAR) || 's_' || CASE WHEN confirmed THEN 'confirmed' ELSE 'audio_only' END AS clip_path
+FROM found""")
+def i6_records(spark, folder):
+    return hl.highlight_records(hl.find_highlights(clip_energy(spark, folder), clip_scores(spark, folder), ["clip_id"], width=50.0))

@@ -124,14 +124,17 @@ def islands(df: DataFrame, keys: Sequence[str], time: str, gap: float, width: fl
     )
 
 
-def cooldown(df: DataFrame, keys: Sequence[str], time: str, gap: float = COOLDOWN) -> DataFrame:
+def cooldown(
+    df: DataFrame, keys: Sequence[str], time: str, gap: float = COOLDOWN, inclusive: bool = False,
+) -> DataFrame:
     """Keep a trigger only when more than `gap` seconds after the last kept one of its key.
 
     The rule is sequential, but a pause longer than `gap` always restarts it, so every run between
     pauses begins with a kept time. Every time points to the first one more than `gap` later, and the
     kept times are those that the pointers reach from the runs' first times. Joining the pointers
     with themselves doubles the step, until no pointer is left inside a run: a few equality joins for
-    runs of any length, and no group held in one task. Returns the distinct kept (key, time) rows;
+    runs of any length, and no group held in one task. With `inclusive` a trigger exactly `gap` later
+    is kept as well. Returns the distinct kept (key, time) rows;
     null keys are a group of their own, null times are no triggers.
     """
     keys = list(keys)
@@ -140,7 +143,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str, gap: float = COOLDOW
     runs = materialize(islands(times, keys, time, gap, 64 * gap), "cooldown-runs")
     probes = runs.select(*group, time, (F.col(time) + gap).alias("_from"))
     pointers = asof_lookup(
-        probes, runs.select(*group, time), group, "_from", time, [], "_next", 64 * gap, forward=True, strict=True,
+        probes, runs.select(*group, time), group, "_from", time, [], "_next", 64 * gap, forward=True, strict=not inclusive,
     ).where(F.col("_next").isNotNull()).select(*group, F.col(time).alias("_at"), F.col("_next.time").alias("_to"))
     pointers = materialize(pointers, "cooldown-step")
     reached = runs.groupBy(*group).agg(F.min(time).alias("_at"))
