@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.catalog.base import WITH_GAMES, games, injuries, plays, query
+from fieldglass.catalog.plays import LINE_KEYS, LINE_SQL, PREPARED_SQL
 from fieldglass.models import attribution as at, boosting as bo
 from fieldglass.operators import cleaning, fusion, matchups as m
 from fieldglass.plans import features as pf, weekly as wk
@@ -112,6 +113,19 @@ def a14(spark, folder):
     return bo.score(again, _prepared(spark, folder)).select("game_id", "line", F.round("p", 6).alias("p"))
 
 
+@query("a14_saved_scores", f"SELECT {LINE_SQL}, true AS same FROM ({PREPARED_SQL})")
+def a14_saved_scores(spark, folder):
+    """A loaded model scores every row as the fitted one does."""
+    fitted = in_play_model(spark, folder)
+    path = scratch_path(spark, "model")
+    bo.save(fitted, path, spark, {"test_season": TEST_SEASON})
+    keys = LINE_KEYS
+    rows = _prepared(spark, folder)
+    one = bo.score(fitted, rows).select(*keys, "p")
+    two = bo.score(bo.load(path, spark), rows).select(*keys, F.col("p").alias("again"))
+    return one.join(two, keys).select(*keys, (F.abs(F.col("p") - F.col("again")) < 1e-12).alias("same"))
+
+
 @query("l1_feature_matrix")
 def l1(spark, folder):
     return pf.feature_matrix(plays(spark, folder), games(spark, folder), injuries(spark, folder))
