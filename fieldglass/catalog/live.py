@@ -146,7 +146,7 @@ def _latest(spark, folder, payload):
     path, checkpoint = scratch_path(spark, "latest"), scratch_path(spark, "latest-checkpoint")
     stream = replayed(spark, folder)
     st.start_latest(stream, ["event_type"], "t", payload, path, checkpoint, tie="event_id").awaitTermination()
-    return st.read_latest(spark, path, ["event_type"])
+    return st.read_latest(spark, path)
 
 
 @query("i7_stream_progress", "SELECT event_type, max((epoch_us(ts) - 1704067200000000) / 3e8::DOUBLE) AS last_seen FROM events GROUP BY event_type")

@@ -68,12 +68,26 @@ def start_latest(
 ) -> StreamingQuery:
     """Keep the newest record per key; the state is one record per key.
 
-    Update mode sends changed keys only; each batch is one folder, and the newest folder of a key wins.
+    Update mode sends changed keys only. Each batch merges them with the version before it into one
+    new version and drops older ones, so the view has one row per key and at most two versions. A
+    batch repeated after a failure writes its version again.
     """
     newest = latest_per_key(records, keys, time, payload, tie)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        older = [v for v in _versions(spark, path) if v < number]
+        rows = batch
+        if older:
+            named = batch.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+            previous = spark.read.parquet(f"{path}/version={older[-1]}")
+            same = [previous[k].eqNullSafe(named[f"_new_{k}"]) for k in keys]
+            rows = previous.join(named, same, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        for version in older[:-1]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return (
         newest.writeStream.outputMode("update").foreachBatch(store)
@@ -81,11 +95,18 @@ def start_latest(
     )
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current record per key out of the update folders."""
-    updates = spark.read.parquet(path)
-    row = F.struct(*[F.col(c) for c in updates.columns if c not in keys and c != "batch"])
-    return updates.groupBy(*keys).agg(F.max_by(row, "batch").alias("_row")).select(*keys, "_row.*")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """Current record per key: the newest version of the view."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
 
 
 def merge_topics(energy: DataFrame, scores: DataFrame) -> DataFrame:
