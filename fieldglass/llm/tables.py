@@ -14,11 +14,20 @@ from fieldglass.session import scratch_path
 IDENTITY = ["_id_a", "_id_b"]
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 1_000  # rows that a Python worker holds at once: texts and sets are long
+
+
 def keep_once(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SEGMENT = 1 << 20  # bytes hashed together; a longer text is cut between words
+SEGMENT = 1 << 18  # bytes hashed together; a longer text is cut between words
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
