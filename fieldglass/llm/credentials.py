@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldglass.llm.tables import keep_once
+from fieldglass.llm.tables import bound_batches, keep_once
 
 # Base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -158,12 +158,14 @@ def span_text(spans: str) -> F.Column:
 def redact(docs: DataFrame, text_column: str = "text", size_column: str | None = "n_chars", scope: int = SCOPE) -> DataFrame:
     """The rows with every reported span replaced by its kind in angle brackets; overlapping spans become one.
 
-    Texts without a span come back as they are, null included, and so does their size.
+    Texts without a span come back as they are, null included, and so does their size. The session's
+    Arrow batches are lowered, as the plan runs when the caller writes it.
     """
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: redacted(t, scope) if isinstance(t, str) else None)
 
+    bound_batches(docs.sparkSession)
     new = docs.withColumn("_clean", F.pandas_udf(cut, "string")(text_column))
     changed = F.col("_clean") != F.col(text_column)
     out = {text_column: F.col("_clean")}

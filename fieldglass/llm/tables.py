@@ -18,6 +18,13 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH = 1_000  # rows that a Python worker holds at once: texts and sets are long
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows, for a plan that the caller runs later."""
+    now = int(spark.conf.get(ARROW_ROWS))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(ARROW_ROWS, str(BATCH))
+
+
 def keep_once(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     spark = df.sparkSession
