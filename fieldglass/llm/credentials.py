@@ -3,13 +3,16 @@
 Strong parts are reported wherever they stand. A weak part (a short hex run, a bare access
 identifier, a long mixed token, an account name) is reported only when a part of a complementary
 role lies in its scope: access identifiers, secrets and endpoints belong together. Scopes are
-intervals of code points, and parts meet in an interval join on (document, place bucket).
+intervals of code points, and parts meet in an interval join on (document, place bucket). Parts that
+overlap say nothing about each other. Paths, named commits and parts of an address are no secrets, except
+a password before its host and the value of a signature or key parameter.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +46,14 @@ ACCOUNT_WORDS = ("user", "login", "client", "account")
 ACCOUNT = re.compile(
     r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._-]{3,64}", re.ASCII | re.IGNORECASE)
 ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+.:-]{1,30}://[^\s\"'<>]{4,200}", re.ASCII)
+# Secrets inside an address: a password before the host, a signature or key parameter, a field behind a comma.
+INNER = re.compile(
+    r"://[^\s/?#@:]*:(?P<password>[^\s/?#@]+)@|[?&;](?:[a-z_.-]*sig(?:nature)?|[a-z_.-]*key|pwd|auth)=(?P<value>[^&#;,\s]+)"
+    r"|[,;](?P<field>[A-Za-z0-9+/_]+)(?![^,;])", re.ASCII | re.IGNORECASE)
+COMMIT = re.compile(r"\b(?:commits?|revision|rev|sha-?1?|changeset|checkout|cherry-pick(?:ed)?|merged?|reverts?|git|index|fixes)\b[^A-Za-z0-9]{1,4}$|[0-9a-f]{7}\.\.\.?$", re.IGNORECASE)
+PATH_START = re.compile(r"/?(?:[a-z][a-z]+/){2}|/[a-z]{2,}/")
+PATH_END = re.compile(r"\.[A-Za-z][A-Za-z0-9]{0,4}(?![A-Za-z0-9])")
+WORD_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SCOPE = 200  # code points between two parts of one credential
 
 OWN_COLUMNS = ("_row", "_weak", "_parts", "base", "linked")
@@ -68,25 +79,69 @@ def _has_account_word(low: str) -> bool:
     return any(w in low for w in ACCOUNT_WORDS)
 
 
+def _is_path(text: str, start: int, end: int) -> bool:
+    """A run that is a file path or words joined by signs: random tokens have letters alone between other kinds."""
+    run = text[start:end]
+    if "/" in run and (PATH_START.match(run) or PATH_END.match(text, end) or run[0] == "/" and text[max(0, start - 1):start] in (".", "~")):
+        return True
+    segments = [WORD_PIECE.findall(x) for x in re.split(r"[/_]+", run) if x]
+    if len(segments) < 2:
+        return False
+    pieces = [p for s in segments for p in s]
+    alone = any(len(p) == 1 and p.isalpha() for s in segments if len(s) > 1 for p in s)
+    return not alone and sum(map(len, pieces)) >= 2.5 * len(pieces)
+
+
+def _secret_kind(value: str) -> int | None:
+    if SHORT_HEX.fullmatch(value):
+        return None if value.isdigit() else KINDS.index("short_hex")
+    return KINDS.index("mixed") if MIXED.fullmatch(value) else None
+
+
+def _address_parts(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(addresses, parts): whole addresses, and as candidates the secrets inside them and what is left as endpoint."""
+    addresses, parts = [], []
+    for m in ENDPOINT.finditer(text):
+        start, end = m.span()
+        addresses.append((start, end))
+        first, inner_end = start, end
+        for inner in INNER.finditer(text, start, end):
+            span = inner.span(inner.lastgroup)
+            kind = _secret_kind(unquote(inner[inner.lastgroup]))
+            if kind is None or inner.lastgroup == "field" and _is_path(text, *span):
+                continue
+            parts.append((kind, *span))
+            if inner.lastgroup == "password":
+                first = span[1] + 1
+            else:
+                inner_end = min(inner_end, span[0])
+        parts.append((KINDS.index("endpoint"), first, inner_end))
+    return addresses, parts
+
+
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that overlap no strong part."""
-    found = []
+    addresses, found = _address_parts(text) if "://" in text else ([], [])
     if _DIGIT.search(text):
+        at = 0
         for m in RUN.finditer(text):
-            run = m[0]
+            run, (start, end) = m[0], m.span()
             if run.isalpha():
                 continue
+            while at < len(addresses) and addresses[at][1] <= start:
+                at += 1
+            inside = at < len(addresses) and addresses[at][0] <= start
             if SHORT_ACCESS.fullmatch(run):
-                found.append((KINDS.index("short_access"), *m.span()))
+                found.append((KINDS.index("short_access"), start, end))
+            elif inside:
+                continue
             elif SHORT_HEX.fullmatch(run):
-                if not run.isdigit():
-                    found.append((KINDS.index("short_hex"), *m.span()))
-            elif MIXED.fullmatch(run):
-                found.append((KINDS.index("mixed"), *m.span()))
+                if not run.isdigit() and not COMMIT.search(text[max(0, start - 24):start]):
+                    found.append((KINDS.index("short_hex"), start, end))
+            elif MIXED.fullmatch(run) and not _is_path(text, start, end):
+                found.append((KINDS.index("mixed"), start, end))
     if ("=" in text or ":" in text) and _has_account_word(text.lower()):
         found += [(KINDS.index("account"), *m.span()) for m in ACCOUNT.finditer(text)]
-    if "://" in text:
-        found += [(KINDS.index("endpoint"), *m.span()) for m in ENDPOINT.finditer(text)]
     if not found:
         return []
     found.sort(key=lambda s: (s[1], s[0], s[2]))
@@ -129,7 +184,7 @@ def scan(docs: DataFrame, text_column: str = "text", scope: int = SCOPE) -> Data
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(_row, linked): weak candidates with a complementary part within the scope."""
+    """(_row, linked): weak candidates with a complementary part within the scope that does not overlap them."""
     role = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])])
     wants = F.create_map(*[y for r, c in COMPLEMENTS.items() for y in (F.lit(r), F.array(*map(F.lit, c)))])
     open_rows = parts.where(F.size("_weak") > 0)
@@ -143,7 +198,8 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     filed = every.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("p_start") / scope), F.floor(F.col("p_end") / scope))))
     met = scopes.join(
         filed, (scopes["_row"] == filed["_row"]) & (scopes["bucket"] == filed["bucket"]) & (F.col("want") == F.col("role"))
-        & (F.col("p_start") <= F.col("end") + scope) & (F.col("p_end") >= F.col("start") - scope), "left_semi")
+        & (F.col("p_start") <= F.col("end") + scope) & (F.col("p_end") >= F.col("start") - scope)
+        & ((F.col("p_end") <= F.col("start")) | (F.col("p_start") >= F.col("end"))), "left_semi")
     spans = met.select("_row", F.struct("kind", "start", "end").alias("span")).distinct()
     return spans.groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("linked"))
 
@@ -185,7 +241,7 @@ def linked_in_text(text: str, strong: list, weak: list, scope: int) -> list[tupl
         for other, p_start, p_end in parts[low:]:
             if p_start > end + scope:
                 break
-            if p_end >= start - scope and ROLE[KINDS[other]] in COMPLEMENTS[ROLE[KINDS[kind]]]:
+            if p_end >= start - scope and (p_end <= start or p_start >= end) and ROLE[KINDS[other]] in COMPLEMENTS[ROLE[KINDS[kind]]]:
                 out.append((kind, start, end))
                 break
     return out

@@ -1,0 +1,39 @@
+"""Parts of credentials: addresses, paths and commits survive redaction, parts of any length are taken."""
+
+import pytest
+
+from fieldglass.llm import credentials
+
+SECRET = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+PLAIN = [
+    "See https://en.wikipedia.org/wiki/World_War_2_in_Europe_1945 for more.",
+    "https://example.com/a/Ab3dE6gH9jK2mN5pQ8rS1x/b and http://example.org/tree/deadbeef12345678",
+    "Docs at https://example.com/x are built from src/main/java/org/Example2Test.java and ./data/Set_4/Run_12_Final",
+    "https://github.com/a/b fixed in commit deadbeef1234 today",
+    "www.example.org/wiki/List_of_Things_2_and_More_1945 https://example.com/",
+    "https://example.com/watch?v=aB3dE6gH9jK&list=PLrAXtmErZgOeiKm4sgNOknGvNjby9efdf",
+]
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_addresses_paths_and_commits_survive(text):
+    assert credentials.redacted(text) == text
+
+
+@pytest.mark.parametrize("text", [
+    f"https://db.example.com/x {SECRET}", f"postgres://bob:{SECRET.replace('/', 'x')}@db.example.com/x", "https://db.example.com,bob,aB3dE6gH9jK2mN5pQ8rS",
+    "https://a.blob.example.net/c?sv=2020&sig=aB3dE6gH9%2Bk2mN5pQ8rS1tU%3D&se=1", f"user=alice9 {SECRET}", "user=alice9 deadbeef12345678",
+])
+def test_pairs_are_still_found(text):
+    out = credentials.redacted(text)
+    assert "<mixed>" in out or "<short_hex>" in out
+    assert SECRET not in out and "aB3dE6gH9" not in out and ("://" not in text or "<endpoint>" in out)
+
+
+def test_join_and_text_agree_on_addresses(spark):
+    texts = [*PLAIN, f"https://db.example.com/x {SECRET}", "user=aB3dE6gH9jK2mN5pQ8rS1"]
+    found = {r["i"]: sorted(map(tuple, r["linked"])) for r in credentials.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, text in enumerate(texts):
+        strong = credentials.strong_parts(text)
+        assert found[i] == sorted(credentials.linked_in_text(text, strong, credentials.weak_parts(text, strong), credentials.SCOPE))
+    assert [i for i in found if found[i]] == [len(PLAIN)]
