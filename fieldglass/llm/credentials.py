@@ -39,13 +39,13 @@ ROLE = {
 }
 COMPLEMENTS = {"access": ["secret"], "secret": ["access", "endpoint"], "endpoint": ["secret"]}
 RUN = re.compile(r"[A-Za-z0-9+/_]{8,}")
-SHORT_ACCESS = re.compile(r"A[KS]IA[A-Z0-9]{4,15}")
+SHORT_ACCESS = re.compile(r"(?<![A-Za-z0-9])A[KS]IA(?=[A-Z]*[0-9])[A-Z0-9]{4,}(?![A-Za-z0-9])")  # of any length that is no base match
 SHORT_HEX = re.compile(r"[0-9a-f]{12,23}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).{20,64}")
+MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).{20,}", re.DOTALL)
 ACCOUNT_WORDS = ("user", "login", "client", "account")
 ACCOUNT = re.compile(
-    r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._-]{3,64}", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+.:-]{1,30}://[^\s\"'<>]{4,200}", re.ASCII)
+    r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._-]{3,}", re.ASCII | re.IGNORECASE)
+ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+.:-]{1,30}://[^\s\"'<>]{4,}", re.ASCII)
 # Secrets inside an address: a password before the host, a signature or key parameter, a field behind a comma.
 INNER = re.compile(
     r"://[^\s/?#@:]*:(?P<password>[^\s/?#@]+)@|[?&;](?:[a-z_.-]*sig(?:nature)?|[a-z_.-]*key|pwd|auth)=(?P<value>[^&#;,\s]+)"
@@ -131,15 +131,14 @@ def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
             while at < len(addresses) and addresses[at][1] <= start:
                 at += 1
             inside = at < len(addresses) and addresses[at][0] <= start
-            if SHORT_ACCESS.fullmatch(run):
-                found.append((KINDS.index("short_access"), start, end))
-            elif inside:
+            if inside:
                 continue
-            elif SHORT_HEX.fullmatch(run):
+            if SHORT_HEX.fullmatch(run):
                 if not run.isdigit() and not COMMIT.search(text[max(0, start - 24):start]):
                     found.append((KINDS.index("short_hex"), start, end))
             elif MIXED.fullmatch(run) and not _is_path(text, start, end):
                 found.append((KINDS.index("mixed"), start, end))
+        found += [(KINDS.index("short_access"), *m.span()) for m in SHORT_ACCESS.finditer(text)]
     if ("=" in text or ":" in text) and _has_account_word(text.lower()):
         found += [(KINDS.index("account"), *m.span()) for m in ACCOUNT.finditer(text)]
     if not found:
