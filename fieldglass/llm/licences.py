@@ -4,7 +4,9 @@ A multinomial logistic regression over sparse word n-grams names the licence fam
 says unknown. It is fitted on a fixed set of notices with words dropped and other text around them,
 and on bounded numbers of paragraphs of the corpus; the least chance that counts is set on held-out
 paragraphs. A predicted family is reported as confirmed if one of its notices is found in the
-paragraph, compared by n-grams.
+paragraph, compared by n-grams. A paragraph ends at a blank line or at a line that ends a sentence; in
+paragraphs of several lines every run of lines as long as a notice can be is judged, so wrapped notices
+are found wherever they stand.
 """
 
 from __future__ import annotations
@@ -75,7 +77,39 @@ def _vocabulary(spark: SparkSession) -> list[str]:
 
 
 def paragraphs_of(text: Column | str) -> Column:
-    return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\n+"), lambda p: F.trim(p) != "")
+    """Paragraphs with their inner line ends; lines of comment marks only are blank."""
+    flat = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\r\x02", "")
+    unmarked = F.regexp_replace(flat, r"(?im)^[^\p{L}\p{N}\n]*(?:dnl|rem)[\x20\t]+", "")
+    ended = F.regexp_replace(unmarked, r"([.!?])(?=[^\p{L}\p{N}\n]*+\n)", "$1\x02")
+    cut = F.regexp_replace(ended, r"\n(?:[^\p{L}\p{N}\n]*+\n)+|\x02[^\n]*+\n", "\x02")
+    return F.filter(F.split(cut, "\x02"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+
+
+LONGEST = max(len(t.split()) for _, t in TEMPLATES)  # words of a notice
+
+
+def _windows(paragraph: Column, anchored) -> Column:
+    """(first, last, text) of the runs of lines that can be a notice, and of each line: a run is a line and what follows until LONGEST words."""
+    def of_lines(lines: Column) -> Column:
+        def from_line(i: Column) -> Column:
+            def with_words(rest: Column) -> Column:
+                # Words of the lines after line i, before line i + k.
+                def before(k: Column) -> Column:
+                    return F.aggregate(F.slice(rest, 1, k - 1), F.lit(0), lambda a, n: a + n)
+
+                return F.filter(F.sequence(F.lit(0), F.size(rest)), lambda k: (k == 0) | (before(F.greatest(k, F.lit(1))) < LONGEST))
+
+            # An n-gram spans three lines at most, as every line has a word.
+            near = anchored(F.array_join(F.slice(lines, i + 1, 3), " "))
+            counts = F.transform(F.slice(lines, i + 2, LONGEST + 1), lambda t: F.size(words_of(t)))
+            ends = F.when(near, once(counts, with_words)).otherwise(F.array().cast("array<int>"))
+            return F.transform(ends, lambda k: F.struct(
+                i.alias("first"), (i + k).alias("last"), F.array_join(F.slice(lines, i + 1, k + 1), " ").alias("text")))
+
+        single = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.get(lines, F.lit(0)).alias("text")))
+        return F.when(F.size(lines) == 1, single).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), from_line)))
+
+    return once(F.filter(F.split(paragraph, "\n"), lambda t: t.rlike(r"[\p{L}\p{N}]")), of_lines)
 
 
 class Model:
@@ -117,7 +151,7 @@ def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAI
     rows = docs.select(text_column).agg(F.count("*").alias("n")).first()["n"]
     share = int(min(1.0, train_paragraphs / SAMPLED_PER_TEXT / max(1, rows)) * (1 << 30))
     chosen = docs.where(F.pmod(F.xxhash64(text_column), F.lit(1 << 30)) < share).select(once(
-        paragraphs_of(text_column), lambda p: F.slice(F.array_sort(F.transform(p, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("p")))), 1, SAMPLED_PER_TEXT)).alias("s"))
+        F.transform(paragraphs_of(text_column), lambda x: F.translate(x, "\n", " ")), lambda p: F.slice(F.array_sort(F.transform(p, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("p")))), 1, SAMPLED_PER_TEXT)).alias("s"))
     sample = keep_once(chosen.select(F.explode("s").alias("s")).select(F.col("s.p").alias("text")), "licence-sample")
     notice_texts = F.array(*[F.lit(t.lower().rstrip(".")) for _, t in TEMPLATES])
     clean = sample.where(~once(F.lower("text"), lambda low: F.exists(notice_texts, lambda t: F.contains(low, t))))
@@ -148,7 +182,9 @@ def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAI
 
 def scan(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, paragraphs). Rows are those of `docs` without the text, with `_row`; paragraphs hold what was found:
-    `_row`, position (number of the paragraph that is not blank, from 0), family, chance, containment, confirmed.
+    `_row`, position (number of the paragraph that is not blank, from 0), first and last (its lines that hold the
+    notice), family, chance, containment, confirmed. Of runs of lines that overlap, the one that holds most of a
+    notice counts, then the shortest.
 
     A paragraph without any n-gram of the model is unknown by its intercepts and not listed. Null text
     has no paragraphs. Texts are read whole; of each paragraph only its n-grams of the model are
@@ -164,29 +200,41 @@ def scan(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[Data
         return F.when(anchored(p), F.filter(grams_of(words_of(p)), lambda g: g.isin(list(model.weights)))).otherwise(empty)
 
     text = F.coalesce(F.col(text_column), F.lit(""))
-    listed = F.filter(F.transform(paragraphs_of(text), lambda p, i: F.struct(i.alias("position"), hits(p).alias("grams"))), lambda s: F.size(s["grams"]) > 0)
+    windows = F.flatten(F.transform(paragraphs_of(text), lambda p, i: F.when(anchored(p), F.transform(_windows(p, anchored), lambda w: F.struct(
+        i.alias("position"), w["first"].alias("first"), w["last"].alias("last"), hits(w["text"]).alias("grams")))).otherwise(
+            F.array().cast("array<struct<position:int,first:int,last:int,grams:array<string>>>"))))
+    listed = F.filter(windows, lambda s: F.size(s["grams"]) > 0)
     kept = [c for c in docs.columns if c not in (text_column, *OWN_COLUMNS)]
     rows = keep_once(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), F.when(anchored(text), listed).alias("_paragraphs")), "licence-rows")
-    found = rows.select("_row", F.explode("_paragraphs").alias("p")).select("_row", "p.position", "p.grams")
+    found = rows.select("_row", F.explode("_paragraphs").alias("p")).select("_row", "p.position", "p.first", "p.last", "p.grams")
     n = len(model.families)
     weights = spark.createDataFrame(sorted(model.weights.items()), "gram string, w array<double>")
     # The model has as many rows as the fixed notices have n-grams.
-    scored = found.select("_row", "position", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("_row", "position").agg(
+    place = ["_row", "position", "first", "last"]
+    scored = found.select(*place, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*place).agg(
         F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(n)]).alias("sums"), F.collect_set("gram").alias("grams"))
     logits = F.zip_with("sums", F.array(*map(F.lit, model.intercepts)), lambda a, b: a + b)
     top = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     names = F.array(*map(F.lit, model.families))
     judged = scored.withColumn("logits", logits).select(
-        "_row", "position", "grams", F.get(names, F.array_position("logits", top).cast("int") - 1).alias("family"), (1 / total).alias("chance"))
+        *place, "grams", F.get(names, F.array_position("logits", top).cast("int") - 1).alias("family"), (1 / total).alias("chance"))
     known = judged.where((F.col("family") != UNKNOWN) & (F.col("chance") > model.least))
     notices = spark.createDataFrame(TEMPLATES, "family string, text string").select("family", F.filter(
         _telling(grams_of(words_of("text"))), lambda g: g.isin(list(model.weights))).alias("notice"))
     of_family = notices.where(F.size("notice") > 0).groupBy("family").agg(F.collect_list("notice").alias("notices"))
     shown = known.join(F.broadcast(of_family), "family").withColumn("containment", F.array_max(F.transform(
         "notices", lambda g: F.size(F.array_intersect(g, F.col("grams"))) / F.size(g))))
-    return rows.drop("_paragraphs"), shown.select(
-        "_row", "position", "family", "chance", "containment", (F.col("containment") >= CONFIRMED).alias("confirmed"))
+    ranked = F.array_sort(F.collect_list(F.struct(
+        (-F.col("containment")).alias("rank"), (F.col("last") - F.col("first")).alias("length"), "first", "last", "family", "chance", "containment")))
+
+    def chosen(windows: Column) -> Column:
+        return F.aggregate(windows, F.slice(windows, 1, 0), lambda kept, w: F.when(
+            F.exists(kept, lambda k: (k["first"] <= w["last"]) & (w["first"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(w))))
+
+    one_each = shown.groupBy("_row", "position").agg(ranked.alias("w")).select("_row", "position", F.explode(chosen(F.col("w"))).alias("w"))
+    return rows.drop("_paragraphs"), one_each.select(
+        "_row", "position", "w.first", "w.last", "w.family", "w.chance", "w.containment", (F.col("w.containment") >= CONFIRMED).alias("confirmed"))
 
 
 def families_of_documents(docs: DataFrame, text_column: str = "text", model: Model | None = None) -> DataFrame:
