@@ -24,7 +24,12 @@ UNKNOWN = "unknown"
 COPIES = 24  # disturbed copies of each notice
 SHUFFLED = 6  # copies of each longer notice with its words in another order, taken as unknown
 SAMPLED_PER_TEXT = 3
-TRAIN_PARAGRAPHS = 4_000  # paragraphs of the corpus, on average, taken as unknown
+TRAIN_PARAGRAPHS = 4_000  # paragraphs of the corpus, on average; those without a licence word and far from every notice are unknown
+UNLIKE = 0.2  # share of a notice's n-grams that an unknown paragraph of the corpus holds at most
+# Fixed value: paragraphs of the corpus with these words are not labelled, as they may be notices in other words.
+LICENCE_WORDS = (
+    r"licen[cs]|copyright|\(c\)|©|permission|permitted|redistribut|rights? (?:are )?reserved|reserved rights|public domain|spdx|warrant(?:y|ies)"
+    r"|creative commons|\bcc0\b|\bcc by\b|open[- ]source|free software|\b[al]?gpl|\bgnu\b|\bbsd\b|\bmpl\b|copyleft|unencumbered")
 CONFIRMED = 0.6  # share of a notice's n-grams in the paragraph
 LEAST_CHANCE = 0.5
 QUIET = 0.999  # share of held-out unknown paragraphs that must stay below the least chance
@@ -142,10 +147,19 @@ def _notices(spark: SparkSession, paragraphs: DataFrame) -> DataFrame:
     return framed.unionByName(mixed)
 
 
+def _unlike_notices(spark: SparkSession, paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs that are no notice, in whatever words."""
+    notices = [r["g"] for r in spark.createDataFrame(TEMPLATES, "family string, text string").select(_telling(grams_of(words_of("text"))).alias("g")).collect()]
+    known = F.array(*[F.array(*map(F.lit, g)) for g in notices if g])
+    share = once(grams_of(words_of("text")), lambda grams: F.array_max(F.transform(known, lambda g: F.size(F.array_intersect(g, grams)) / F.size(g))))
+    return paragraphs.where(~F.lower("text").rlike(LICENCE_WORDS)).where(F.coalesce(share, F.lit(0.0)) < UNLIKE)
+
+
 def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAIN_PARAGRAPHS) -> Model:
     """The classifier for a corpus: only the bounded training rows and the model leave the executors.
 
-    Corpus paragraphs that hold a notice whole are left out of the unknown ones.
+    Corpus paragraphs that share much with a notice or have a licence word have no label and are left out
+    of the training and of the paragraphs that set the least chance.
     """
     spark = docs.sparkSession
     rows = docs.select(text_column).agg(F.count("*").alias("n")).first()["n"]
@@ -153,8 +167,7 @@ def fit(docs: DataFrame, text_column: str = "text", train_paragraphs: int = TRAI
     chosen = docs.where(F.pmod(F.xxhash64(text_column), F.lit(1 << 30)) < share).select(once(
         F.transform(paragraphs_of(text_column), lambda x: F.translate(x, "\n", " ")), lambda p: F.slice(F.array_sort(F.transform(p, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("p")))), 1, SAMPLED_PER_TEXT)).alias("s"))
     sample = keep_once(chosen.select(F.explode("s").alias("s")).select(F.col("s.p").alias("text")), "licence-sample")
-    notice_texts = F.array(*[F.lit(t.lower().rstrip(".")) for _, t in TEMPLATES])
-    clean = sample.where(~once(F.lower("text"), lambda low: F.exists(notice_texts, lambda t: F.contains(low, t))))
+    clean = _unlike_notices(spark, sample)
     other = spark.createDataFrame([(UNKNOWN, t) for t in OTHER], "family string, text string")
     labelled = _notices(spark, clean).unionByName(other).unionByName(clean.select(F.lit(UNKNOWN).alias("family"), "text"))
     families = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
