@@ -20,7 +20,7 @@ from fieldglass.llm.tables import IDENTITY, keep_once, with_identity
 from fieldglass.llm.texthash import groups_of_texts, mix
 
 BUCKETS = 1 << 15  # hashed letter trigrams
-TRAIN_ROWS = 500  # labelled rows per language, on average, that the text model is fitted on
+TRAIN_ROWS = 500  # distinct labelled texts per language, on average, that the text model is fitted on
 MOST_LANGUAGES = 64
 EVIDENCE = 100  # trigrams that count at most: letters of one text are not independent
 FLOOR = 0.05  # added to every bucket
@@ -80,17 +80,21 @@ def fit_text_model(labelled: DataFrame, text_column: str, label_column: str, tra
     """(languages, log chance of each trigram bucket by language) from rows with a label.
 
     The most frequent labels, MOST_LANGUAGES at most, are the languages. The model is fitted on about
-    `train_rows` rows of each, chosen by a hash of the text; counts are a grouped aggregate, and only
-    the bounded model comes to the driver.
+    `train_rows` distinct texts of each, chosen by a hash of the text, on all if there are fewer; copies
+    count once. Counts are a grouped aggregate, and only the bounded model comes to the driver.
     """
-    counts = labelled.where(F.col(label_column).isNotNull()).groupBy(F.col(label_column).alias("label")).count()
+    # One row per label and text: two hashes stand for the text.
+    texts = labelled.where(F.col(label_column).isNotNull()).groupBy(
+        F.col(label_column).alias("label"), F.xxhash64(text_column).alias("h"), F.xxhash64(F.lit(31), text_column).alias("g")).agg(
+            F.count("*").alias("n"), F.count(text_column).alias("filled"))
+    counts = texts.groupBy("label").agg(F.sum("n").alias("count"), F.count_if(F.col("filled") > 0).alias("texts"))
     top = counts.orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["label"] for r in top)
     if not languages:
         return [], np.zeros((0, BUCKETS), np.float32)
-    share = F.create_map(*[x for r in top for x in (F.lit(r["label"]), F.lit(int(min(1.0, train_rows / r["count"]) * (1 << 30))))])
+    share = F.create_map(*[x for r in top for x in (F.lit(r["label"]), F.lit(int(min(1.0, train_rows / max(1, r["texts"])) * (1 << 30))))])
     chosen = labelled.where(F.col(label_column).isin(languages)).where(
-        F.pmod(F.xxhash64(text_column), F.lit(1 << 30)) < share[F.col(label_column)])
+        F.pmod(F.xxhash64(text_column), F.lit(1 << 30)) < share[F.col(label_column)]).select(text_column, label_column).distinct()
     index = {label: i for i, label in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +108,7 @@ def fit_text_model(labelled: DataFrame, text_column: str, label_column: str, tra
         at = np.nonzero(totals)
         yield pd.DataFrame({"language": at[0].astype(np.int32), "bucket": at[1].astype(np.int32), "n": totals[at]})
 
-    found = chosen.select(text_column, label_column).mapInPandas(count, "language int, bucket int, n bigint")
+    found = chosen.mapInPandas(count, "language int, bucket int, n bigint")
     summed = found.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(languages), BUCKETS), FLOOR)
     table[summed["language"], summed["bucket"]] += summed["n"]
