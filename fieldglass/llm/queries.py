@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import credentials, fingerprints, language, licences, minhash, mixing, packing, sharding, url_rules, vectors
+from fieldglass.llm import (
+    credentials, fingerprints, language, licences, minhash, mixing, packing, sharding, spelling, url_rules, vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,3 +236,54 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 def scan_licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.families_of_documents(table(spark, folder, "documents").select("doc_id", "text"))
     return found.withColumn("chance", F.round("chance", 6))
+
+
+# The crc32 of each `<id>:<run>`, byte by byte over a table made by its rule; near words share a form with one code point left out.
+SPELLING_SQL = """
+with recursive crc_bits(i, c, k) as (
+  select i, i::ubigint, 0 from range(256) t(i)
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from crc_bits where k < 8
+), crc_table as (
+  select list(c order by i) as crc from crc_bits where k = 8
+), runs as (
+  select coalesce(doc_id::varchar, '') as id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), distinct_runs as (
+  select id, run, count(*) as n, hex(encode(id || ':' || run)) as bytes from runs group by id, run
+), hashed as (
+  select run, n, xor(list_reduce(
+      list_prepend(4294967295::ubigint, [('0x' || bytes[2 * i - 1 : 2 * i])::ubigint for i in range(1, length(bytes) // 2 + 1)]),
+      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255)::int + 1])), 4294967295::ubigint) as h
+  from distinct_runs, crc_table
+), spelt as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed
+), words as (
+  select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by word having sum(n) >= 3
+), shorter as (
+  select word, n, i, length(word) as size, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from words, lateral (select unnest(range(1, length(word) + 1)) as i)
+), near as (
+  select a.word, b.word as near, b.n as near_n from shorter a join shorter b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word
+  union select a.word, b.word, b.n from shorter a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from shorter a join words b on a.rest = b.word
+), best as (
+  select word, count(*)::bigint as n_near, max(near_n) as form_n, arg_min(near, row(-near_n, near)) as form from near group by word
+), formed as (
+  select w.word, case when form_n >= 2 * n then form end as form, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form_n end as form_n
+  from words w left join best using (word)
+), chain as (
+  select word, word as here, 0 as steps from formed
+  union all
+  select chain.word, formed.form, steps + 1 from chain join formed on chain.here = formed.word where formed.form is not null
+), roots as (
+  select word, arg_max(here, steps) as root from chain group by word
+)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def group_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.counted(spelling.misspelt_counts(table(spark, folder, "documents"))))
