@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import (
-    credentials, fingerprints, language, licences, minhash, mixing, packing, sharding, spelling, url_rules, vectors,
+    credentials, fingerprints, language, licences, minhash, mixing, packing, phrases, sharding, spelling, url_rules, vectors,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,3 +287,43 @@ select word, form, root, n, n_near, form_n from formed join roots using (word)
 @query("op13_spelling", SPELLING_SQL)
 def group_spellings(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.counted(spelling.misspelt_counts(table(spark, folder, "documents"))))
+
+
+PHRASE_SQL = """
+with texts as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), pieces as (
+  select lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from texts
+), words as (
+  select lang, [w for w in regexp_split_to_array(piece, '[\\x20\\x09]+') if w <> ''] as w from pieces
+), sizes as (
+  select lang, sum(len(w))::hugeint as n from words group by lang
+), placed as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from words
+), spans as (
+  select lang, w[i : i + k - 1] as p from placed, range(1, 6) t(k) where i + k - 1 <= len(w)
+), phrases as (
+  select lang, p, count(*)::hugeint as f from spans group by lang, p having count(*) >= 100
+), covered as (
+  select lang, p, max(f) as longer from (
+    select lang, p[1 : len(p) - 1] as p, f from phrases where len(p) > 2 union all select lang, p[2 : len(p)], f from phrases where len(p) > 2) group by lang, p
+), open as (
+  select lang, p, f from phrases left join covered using (lang, p) where len(p) > 1 and coalesce(longer < f, true)
+), cuts as (
+  select lang, p, f as a, unnest(range(1, len(p))) as k from open
+), scored as (
+  select c.lang, c.p, c.k, c.a, l.f as l, r.f as r, n, 1000 * a * n // (l.f * r.f) as score
+  from cuts c join phrases l on l.lang = c.lang and l.p = c.p[1 : c.k] join phrases r on r.lang = c.lang and r.p = c.p[c.k + 1 : len(c.p)]
+  join sizes on sizes.lang = c.lang
+), weakest as (
+  select lang, array_to_string(p, ' ') as phrase, unnest(arg_min({'a': a, 'l': l, 'r': r, 'n': n, 'score': score}, row(score, k))) from scored group by lang, p
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+  a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from weakest qualify rank <= 2000
+"""
+
+
+@query("op11_phrases", PHRASE_SQL)
+def mine_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))

@@ -25,11 +25,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, str(BATCH))
 
 
-def keep_once(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def keep_once(df: DataFrame, label: str, batch: int = BATCH) -> DataFrame:
+    """Write a table to the shared folder, with Arrow batches of `batch` rows at most, and read it back."""
     spark = df.sparkSession
     path, before = scratch_path(spark, label), spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    spark.conf.set(ARROW_ROWS, str(min(batch, int(before)) if int(before) > 0 else batch))
     try:
         df.write.parquet(path)
     finally:
