@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import (
-    credentials, fingerprints, language, licences, minhash, mixing, packing, phrases, sharding, spelling, url_rules, vectors,
+    credentials, fingerprints, language, licences, minhash, mixing, nearest, packing, phrases, sharding, spelling, url_rules, vectors,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,3 +327,8 @@ from weakest qualify rank <= 2000
 @query("op11_phrases", PHRASE_SQL)
 def mine_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_nearest")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
