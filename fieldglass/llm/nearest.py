@@ -29,12 +29,12 @@ TABLES = 6
 WIDTH = 3.0  # of a hash cell, in deviations of a projection
 MOST_HASHES = 24
 BUCKET = 256  # points that meet in a bucket, at most, as the sample tells
-REGION = 4_096  # the same of a region
-SAMPLE = 4_096  # points of a group that fix its hashes
+REGION = 16_384  # points of a region, about
+SAMPLE = 1 << 20  # components of a group's points that fix its hashes and begin every answer
 AUDIT = 256  # queries whose true neighbours fix the number of visits
 RECALL = 0.95  # of the audit
 MOST_VISITS = (64, 256, 1_024)  # of a table, tried in turn; where the last do not do, every point is compared
-POINT_BLOCK, QUERY_BLOCK = 8_192, 1_024
+POINT_BLOCK, QUERY_BLOCK = 16_384, 512
 _SPARE = 4  # products in blocks may order near ties otherwise than exact ones
 
 
@@ -78,6 +78,7 @@ class Hashes:
     width: float
     hashes: int
     region: int  # how many of the hashes name the region
+    regions: int
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         x = vectors / self.longest
@@ -99,7 +100,10 @@ class Hashes:
     def buckets(self, vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(region, bucket) of each point."""
         code = np.floor(self.cells(self.lifted(vectors), table)).astype(np.int64).astype(np.uint64) * self.multipliers(table)
-        return code[:, : self.region].sum(axis=1, dtype=np.uint64), code.sum(axis=1, dtype=np.uint64)
+        return self.named(code[:, : self.region].sum(axis=1, dtype=np.uint64)), code.sum(axis=1, dtype=np.uint64)
+
+    def named(self, region: np.ndarray) -> np.ndarray:
+        return mix(region) % np.uint64(self.regions)
 
     def visits(self, vectors: np.ndarray, table: int, count: int, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(region, bucket), each a row per query: the `count` buckets that are likeliest to hold its neighbours."""
@@ -121,13 +125,13 @@ class Hashes:
             for j in range(2 * self.hashes):
                 every[:, sets[j] > 0] += steps[:, j: j + 1]
             out.append(np.take_along_axis(every, taken, axis=1))
-        return out[0], out[1]
+        return self.named(out[0]), out[1]
 
 
 def fit(group: int, dim: int, n: int, longest: float, sample: np.ndarray) -> Hashes:
     """Cells as wide as the sample spreads; as many hashes as leave BUCKET of n points together, and REGION in a region."""
-    fitted = Hashes(group, dim, longest, 1.0, MOST_HASHES, MOST_HASHES)
-    lifted = fitted.lifted(sample)
+    fitted = Hashes(group, dim, longest, 1.0, MOST_HASHES, MOST_HASHES, -(-n // REGION))
+    lifted = fitted.lifted(sample[:4096])
     spread = np.sqrt(((lifted - lifted.mean(axis=0)) ** 2).sum(axis=1).mean())
     fitted.width = WIDTH * spread if spread > 1e-9 else 1.0
     cell = np.floor(fitted.cells(lifted, 0)).astype(np.int64)
@@ -172,18 +176,28 @@ def points_of(vectors: DataFrame, id_column: str, vector_column: str, k: int) ->
     return keep_once(points.withColumn("band", F.floor(F.log2("length") + 0.5).cast("int")), "points")
 
 
-def fitted_groups(points: DataFrame) -> list[Hashes]:
-    """The hashes of every group, from SAMPLE points of it at most."""
+@dataclass
+class Sample:
+    """Some points of one dimension, the same in every run."""
+
+    point: np.ndarray
+    first_id: np.ndarray
+    vectors: np.ndarray
+
+
+def fitted_groups(points: DataFrame) -> tuple[list[Hashes], dict[int, Sample]]:
+    """The hashes of every group, and a sample of every dimension; a group gives SAMPLE components at most."""
     groups = points.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy("dim", "band").collect()
-    out = []
+    out, taken = [], {}
     for group, row in enumerate(groups):
-        own = points.where((F.col("dim") == row["dim"]) & (F.col("band") == row["band"]))
-        share = F.pmod(F.xxhash64("point"), F.lit(row["n"])) < 2 * SAMPLE
-        sample = np.array([r["vector"] for r in own.where(share).select("vector").limit(SAMPLE).collect()], np.float64).reshape(-1, row["dim"])
-        if not len(sample):
-            sample = np.array([own.select("vector").first()["vector"]], np.float64)
-        out.append(fit(group, row["dim"], row["n"], row["longest"], sample))
-    return out
+        dim = row["dim"]
+        own = points.where((F.col("dim") == dim) & (F.col("band") == row["band"])).select("point", F.col("ids")[0].alias("first_id"), "vector")
+        rows = own.orderBy(F.xxhash64("vector"), "vector").limit(max(1, SAMPLE // dim)).collect()
+        vectors = np.array([r["vector"] for r in rows], np.float64).reshape(-1, dim)
+        out.append(fit(group, dim, row["n"], row["longest"], vectors))
+        taken.setdefault(dim, []).append(Sample(np.array([r["point"] for r in rows]), np.array([r["first_id"] for r in rows]), vectors))
+    join = lambda parts, name: np.concatenate([getattr(p, name) for p in parts])
+    return out, {dim: Sample(*(join(parts, name) for name in ("point", "first_id", "vectors"))) for dim, parts in taken.items()}
 
 
 def true_neighbours(points: DataFrame, queries: dict[int, np.ndarray], k: int) -> DataFrame:
@@ -258,8 +272,39 @@ def indexed(points: DataFrame, groups: list[Hashes], bands: dict[tuple[int, int]
         place, f"grp int, tbl int, region bigint, bucket bigint, point bigint, first_id bigint, vector {kind}")
 
 
+def best_of_sample(queries: DataFrame, samples: dict[int, Sample], k: int) -> DataFrame:
+    """(query, dim, vector, bound, point, first_id, score): queries with their k best points of the sample, as arrays.
+
+    The search begins with these answers: only products of at least `bound`, the least of them, can change it.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(samples)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim, sample in shared.value.items():
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                many = min(k, len(sample.point))
+                for lo in range(0, own.num_rows, 256):
+                    part = own.slice(lo, 256)
+                    asks = matrix(part["vector"], dim)
+                    products = asks @ sample.vectors.T
+                    best = np.argpartition(-products, many - 1, axis=1)[:, :many].ravel()
+                    scores = exact(np.repeat(asks, many, axis=0), sample.vectors[best])
+                    bound = scores.reshape(-1, many).min(axis=1) if many == k else np.full(len(asks), -np.inf)
+                    ends = pa.array(np.arange(0, len(best) + 1, many, dtype=np.int32))
+                    listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))  # noqa: B023, E731
+                    yield pa.record_batch({
+                        "query": part["point"], "dim": part["dim"], "vector": part["vector"], "bound": pa.array(bound),
+                        "point": listed(sample.point[best]), "first_id": listed(sample.first_id[best]), "score": listed(scores)})
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    return queries.select("point", "vector", "dim").mapInArrow(
+        compare, f"query bigint, dim int, vector {kind}, bound double, point array<bigint>, first_id array<bigint>, score array<double>")
+
+
 def visiting(queries: DataFrame, groups: list[Hashes], visits: int) -> DataFrame:
-    """(grp, tbl, region, query, buckets, vector): a row per region that a query visits, with its buckets there."""
+    """(grp, tbl, region, query, buckets, vector, bound): a row per region that a query visits, with its buckets there."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = {h.hashes: perturbations(h.hashes, 4 * visits) for h in groups}
@@ -281,16 +326,16 @@ def visiting(queries: DataFrame, groups: list[Hashes], visits: int) -> DataFrame
                         rows = some.take(pa.array(who[starts]))
                         yield pa.record_batch({
                             "grp": pa.array(np.full(n, hashes.group, np.int32)), "tbl": pa.array(np.full(n, table, np.int32)),
-                            "region": pa.array(signed(region[starts])), "query": rows["point"],
+                            "region": pa.array(signed(region[starts])), "query": rows["query"], "bound": rows["bound"],
                             "buckets": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(who)].astype(np.int32)), pa.array(signed(bucket))), "vector": rows["vector"]})
 
     kind = queries.schema["vector"].dataType.simpleString()
-    return queries.select("point", "vector", "dim").mapInArrow(
-        probe, f"grp int, tbl int, region bigint, query bigint, buckets array<bigint>, vector {kind}")
+    return queries.select("query", "vector", "dim", "bound").mapInArrow(
+        probe, f"grp int, tbl int, region bigint, query bigint, bound double, buckets array<bigint>, vector {kind}")
 
 
 def best_of_block(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """(query, point, first_id, score): of each query, the k points of largest product in the buckets that it visits."""
+    """(query, point, first_id, score): of each query, the k points of largest product, its bound at least, in the buckets that it visits."""
     empty = pa.table({"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "first_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not points.num_rows or not queries.num_rows:
         return empty
@@ -317,17 +362,21 @@ def best_of_block(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     many = min(k + _SPARE, len(have))
     best = np.argpartition(-scores, many - 1, axis=1)[:, :many]
     query = np.repeat(np.arange(len(asks)), many)
-    kept = np.isfinite(scores[query, best.ravel()])
+    bound = queries["bound"].to_numpy()[query]
+    kept = scores[query, best.ravel()] >= np.where(np.isfinite(bound), bound - 1e-9 * np.abs(bound), -1.7e308)
     query, point = query[kept], best.ravel()[kept]
     return pa.table({
         "query": queries["query"].take(pa.array(query)), "point": points["point"].take(pa.array(point)), "first_id": points["first_id"].take(pa.array(point)),
         "score": pa.array(exact(asks[query], have[point]))})
 
 
-def candidates(points: DataFrame, queries: DataFrame, groups: list[Hashes], bands: dict[tuple[int, int], int], visits: int, k: int) -> DataFrame:
-    """(query, point, first_id, score): the k best points of each query among those in visited buckets, a point of the query's own included."""
+def candidates(
+    points: DataFrame, queries: DataFrame, groups: list[Hashes], samples: dict[int, Sample], bands: dict[tuple[int, int], int], visits: int, k: int,
+) -> DataFrame:
+    """(query, point, first_id, score): the k best points of each query among the sample and visited buckets, a point of the query's own included."""
     key = ["grp", "tbl", "region"]
-    members, asks = indexed(points, groups, bands), visiting(queries, groups, visits)
+    begun = keep_once(best_of_sample(queries, samples, k), "begun")
+    members, asks = indexed(points, groups, bands), visiting(begun, groups, visits)
     # A crowded region is cut into blocks of points and of queries, and every block meets every other one.
     crowds = keep_once(
         members.groupBy(key).agg(F.ceil(F.count("*") / POINT_BLOCK).cast("long").alias("point_blocks"))
@@ -337,12 +386,14 @@ def candidates(points: DataFrame, queries: DataFrame, groups: list[Hashes], band
         *key, "bucket", "point", "first_id", "vector", F.pmod(F.xxhash64("point"), F.col("point_blocks")).alias("point_block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("query_block"))
     right = asks.join(crowds, key).select(
-        *key, "query", "buckets", "vector", F.pmod(F.xxhash64("query"), F.col("query_blocks")).alias("query_block"),
+        *key, "query", "buckets", "vector", "bound", F.pmod(F.xxhash64("query"), F.col("query_blocks")).alias("query_block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("point_blocks") - 1)).alias("point_block"))
     found = left.groupBy(blocks).cogroup(right.groupBy(blocks)).applyInArrow(
         lambda a, b: best_of_block(a, b, k), "query bigint, point bigint, first_id bigint, score double")
+    first = begun.select("query", F.explode(F.arrays_zip("point", "first_id", "score")).alias("s")).select("query", "s.point", "s.first_id", "s.score")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id")
-    return found.dropDuplicates(["query", "point"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    every = found.union(first).dropDuplicates(["query", "point"])
+    return every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
 def nearest(
@@ -359,16 +410,16 @@ def nearest(
     points = points_of(own, "id", "vector", k)
     asks = keep_once(own.where("asks").select("id", "vector").dropDuplicates(["id", "vector"]).join(points.select("vector", "point"), "vector").select("id", "point"), "asks")
     queries = keep_once(points.join(asks.select("point").distinct(), "point", "left_semi"), "query-points")
-    groups = fitted_groups(points)
+    groups, samples = fitted_groups(points)
     bands = {(r["dim"], r["band"]): i for i, r in enumerate(points.select("dim", "band").distinct().orderBy("dim", "band").collect())}
-    audited = {r["point"]: np.array(r["vector"], np.float64) for r in queries.orderBy(F.xxhash64("point")).limit(AUDIT).select("point", "vector").collect()}
+    audited = {r["point"]: np.array(r["vector"], np.float64) for r in queries.orderBy(F.xxhash64("vector"), "vector").limit(AUDIT).select("point", "vector").collect()}
     truth = true_neighbours(points, audited, k).collect() if audited else []
     visits = visits_needed(groups, audited, truth, bands)
     if visits is None:
         for hashes in groups:
-            hashes.hashes = hashes.region = 0  # one bucket: every point is compared
+            hashes.hashes, hashes.region, hashes.regions = 0, 0, 1  # one bucket: every point is compared
         visits = 1
-    met = keep_once(candidates(points, queries, groups, bands, visits, k + 1), "neighbours")
+    met = keep_once(candidates(points, queries, groups, samples, bands, visits, k + 1), "neighbours")
     named = met.join(points.select("point", F.explode("ids").alias("id")), "point")
     answers = named.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "point"))).alias("found"))
     of_query = asks.join(answers, F.col("query") == asks["point"]).select(F.col("id").alias("query_id"), F.posexplode(F.slice(

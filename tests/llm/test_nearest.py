@@ -46,6 +46,7 @@ def test_everything_visited_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(nearest, "visits_needed", lambda *_: None)
     monkeypatch.setattr(nearest, "POINT_BLOCK", blocks[0])
     monkeypatch.setattr(nearest, "QUERY_BLOCK", blocks[1])
+    monkeypatch.setattr(nearest, "SAMPLE", 40)
     rng = np.random.default_rng(4)
     same = rng.normal(size=3).tolist()
     rows = [(i, same if i % 3 == 0 else (rng.normal(size=3) * 10.0 ** rng.integers(-2, 3)).tolist()) for i in range(90)] + ODD + [(5, same), (5, same)]
@@ -55,7 +56,9 @@ def test_everything_visited_equals_brute_force(spark, monkeypatch, blocks):
     assert out == {q: sorted(found) for q, found in expected.items() if found}
 
 
-def test_recall_on_uniform_and_clustered_vectors(spark):
+def test_recall_on_uniform_and_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SAMPLE", 24 * 400)
+    monkeypatch.setattr(nearest, "REGION", 300)
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(8, 24))
     clustered = centre[rng.integers(0, 8, 1200)] * 2 + 0.3 * rng.normal(size=(1200, 24))
@@ -95,7 +98,7 @@ def test_empty_tables(spark):
 
 
 def test_visits_start_at_home_and_cross_the_nearest_border_next():
-    hashes = nearest.Hashes(0, 4, 1.0, 0.5, 5, 2)
+    hashes = nearest.Hashes(0, 4, 1.0, 0.5, 5, 2, 7)
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(50, 4))
     unit = hashes.asked(vectors)
