@@ -10,7 +10,7 @@ from fieldglass.models import attribution as at, boosting as bo
 from fieldglass.operators import cleaning, fusion, matchups as m
 from fieldglass.plans import features as pf, weekly as wk
 from fieldglass.plans.report import by_probability
-from fieldglass.session import scratch_path
+from fieldglass.session import materialize as keep, scratch_path
 
 SMALL = bo.Boosting(trees=8, depth=3)
 IN_PLAY = bo.Boosting(trees=8, depth=4, row_share=0.8, column_share="0.8")
@@ -82,16 +82,26 @@ def _matchups(spark, folder):
 
 @query("j6_explain")
 def j6(spark, folder):
+    """The main reasons of every game's prediction."""
     model, matchups = _matchups(spark, folder)
-    week = matchups.where((F.col("season") == TEST_SEASON) & (F.col("week") == 6))
     keys = ["game_id", "home_team", "away_team"]
-    contributions = at.occlusion_contributions(model.outcome, week, keys)
+    contributions = at.additive_contributions(model.outcome, matchups, keys).where(F.col("feature") != at.BASE)
     why = at.reasons(contributions, ["game_id"])
     return why.select("game_id", F.posexplode("reasons").alias("place", "r")).select(
         "game_id", "place", "r.text", F.round("r.contribution", 6).alias("contribution"),
     )
 
 
+@query("j6_additive", f"{WITH_GAMES} SELECT game_id, true AS same FROM games")
+def j6_additive(spark, folder):
+    """Of every game: its contributions and the mean add up to the log-odds of its probability."""
+    model, matchups = _matchups(spark, folder)
+    matchups = keep(matchups, "matchups")
+    total = at.additive_contributions(model.outcome, matchups, ["game_id"]).groupBy("game_id").agg(F.sum("contribution").alias("total"))
+    scored = bo.score(model.outcome, matchups).select("game_id", F.log(F.col("p") / (1 - F.col("p"))).alias("log_odds"))
+    return scored.join(total, "game_id").select("game_id", (F.abs(F.col("log_odds") - F.col("total")) < 1e-9).alias("same"))
+
+
 @query("j7_what_if")
 def j7(spark, folder):
     scenarios = plays(spark, folder).select(
