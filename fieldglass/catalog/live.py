@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.catalog.base import (
-    STREAM_UNIT, USER_UNIT, amplitude, event_seconds, query, table,
+    STREAM_UNIT, USER_UNIT, amplitude, event_seconds, query, rounded, table,
 )
 from fieldglass.catalog.models import in_play_model
 from fieldglass.catalog.records import BROKEN
-from fieldglass.catalog.signal import HIGHLIGHT_SQL
+from fieldglass.catalog.signal import HIGHLIGHT_SQL, SIGNAL_SQL
 from fieldglass.catalog.tokens import WITH_STATES, frames
 from fieldglass.operators import sampling as sp
 from fieldglass.session import scratch_path
 from fieldglass.sources import records as rc
-from fieldglass.streaming import live as lv, stages as st
+from fieldglass.streaming import live as lv, stages as st, windows as wn
 from fieldglass.streaming.highlights import Limits, live_highlights
 
 SLICES = 6
@@ -218,3 +218,46 @@ def l5(spark, folder):
     return spark.read.parquet(paths.data("winprob")).select(
         "clip_id", "frame_id", "situation", "posteam_win_prob", "defteam_win_prob",
     )
+
+
+# Windows that the watermark, five seconds behind the newest event, has passed; whole milliseconds as in the stream.
+_IN_MILLIS = f"""WITH s AS ({SIGNAL_SQL}), m AS (SELECT stream, rms, CAST(trunc(t * 1000) AS BIGINT) AS ms FROM s),
+closed AS (SELECT max(ms) - {DELAY_SECONDS * 1000} AS until FROM m)"""
+
+
+def _samples(spark, folder):
+    return replayed(spark, folder).select(F.col("event_type").alias("stream"), "t", amplitude().alias("rms"))
+
+
+@query("i12_stream_chunks", f"""{_IN_MILLIS} SELECT stream, ms // 500 * 0.5::DOUBLE AS start, count(*) AS n, round(sqrt(sum(rms * rms) / count(*)), 6) AS rms
+FROM m, closed GROUP BY stream, ms // 500, until HAVING (ms // 500 + 1) * 500 <= until""")
+def i12_stream(spark, folder):
+    chunks = wn.windowed_energy(_samples(spark, folder), ["stream"], "t", "rms", 0.5, delay=f"{DELAY_SECONDS} seconds")
+    return rounded(finished(spark, chunks, "chunks").select("stream", "start", "n", "rms"), "rms")
+
+
+@query("d18_stream_envelope", f"""{_IN_MILLIS}, f AS (SELECT stream, rms, unnest([ms // 15000 - 1, ms // 15000]) AS frame FROM m)
+SELECT stream, frame * 15.0::DOUBLE AS start, count(*) AS n, round(sqrt(sum(rms * rms) / count(*)), 6) AS rms
+FROM f, closed GROUP BY stream, frame, until HAVING (frame + 2) * 15000 <= until""")
+def d18_stream(spark, folder):
+    frames_ = wn.windowed_energy(_samples(spark, folder), ["stream"], "t", "rms", 30.0, 15.0, f"{DELAY_SECONDS} seconds")
+    return rounded(finished(spark, frames_, "envelope").select("stream", "start", "n", "rms"), "rms")
+
+
+@query("i2_failing_handler", """SELECT event_id, CASE WHEN event_id % 4000 <> 7 THEN CAST(round(value * 100) AS BIGINT) END AS cents,
+  event_id % 4000 = 7 AS bad FROM events""")
+def i2_failing(spark, folder):
+    """A handler that raises on one record in 4,000: those are set aside one by one, all others are handled."""
+    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    values = replayed(spark, folder, slices=2).selectExpr("event_id", "to_json(named_struct('event_id', event_id, 'value', value)) as text")
+    decoded = rc.decode(values.select("text"), "event_id long, value double", "text")
+
+    def cents(batch):
+        refused = F.raise_error(F.concat(F.lit("no cents for "), F.col("event_id")))
+        return batch.select("event_id", F.when(F.col("event_id") % 4000 == 7, refused.cast("long")).otherwise(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+    st.start_with_quarantine(decoded, good, bad, scratch_path(spark, "failing-checkpoint"), cents).awaitTermination()
+    handled = spark.read.schema("event_id long, cents long").parquet(good).select("event_id", "cents", F.lit(False).alias("bad"))
+    aside = spark.read.schema("value string, error string").parquet(bad).where("error is not null")
+    return handled.unionByName(aside.select(
+        F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.lit(None).cast("long").alias("cents"), F.lit(True).alias("bad")))

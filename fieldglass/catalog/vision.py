@@ -169,6 +169,17 @@ def d14(spark, folder):
     return vi.frame_counts(_players(spark, folder), ["frame_id"])
 
 
+@query("d14_frame_record", f"""{SIDED_CTE}, listed AS (SELECT frame_id, vec_id, side, row_number() OVER (PARTITION BY frame_id ORDER BY vec_id) AS place,
+  count(*) OVER f AS num_players, count(*) FILTER (WHERE side = 'offense') OVER f AS offense_count,
+  count(*) FILTER (WHERE side = 'defense') OVER f AS defense_count FROM players WINDOW f AS (PARTITION BY frame_id))
+SELECT frame_id, num_players, offense_count, defense_count, place, vec_id, side FROM listed""")
+def d14_record(spark, folder):
+    """The published record of each frame, its players listed in order."""
+    record = vi.frame_detections(_players(spark, folder), ["frame_id"], ["vec_id", "side"])
+    return record.select("frame_id", "num_players", "offense_count", "defense_count", F.posexplode(F.sort_array("players")).alias("place", "p")).select(
+        "frame_id", "num_players", "offense_count", "defense_count", (F.col("place") + 1).alias("place"), "p.vec_id", "p.side")
+
+
 @query("d15_dominant_hue", """WITH c AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 px AS (SELECT vec_id, CAST(floor(abs(x) * 1000) AS INTEGER) % 180 AS h, CAST(floor(abs(x) * 3000) AS INTEGER) % 256 AS s FROM c),
 k AS (SELECT vec_id, median(h) FILTER (WHERE s > 60 AND NOT (h > 30 AND h < 95)) AS m,

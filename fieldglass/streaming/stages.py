@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +15,7 @@ from fieldglass.models.boosting import Fitted, score
 from fieldglass.operators.fusion import probability_record, state_features
 from fieldglass.operators.sampling import SCOREBOARD_STRIDE, every_nth, latest_per_key
 from fieldglass.operators.tokens import read_regions
+from fieldglass.session import materialize
 from fieldglass.sources.records import bad_rows, good_rows
 
 
@@ -42,6 +45,39 @@ def start_append(
     return writer.start(path)
 
 
+MOST_FAILING = 100
+
+
+def handle_each(
+    rows: DataFrame, handle: Callable[[DataFrame], DataFrame], path: str, most_failing: int = MOST_FAILING,
+) -> list[tuple[DataFrame, str]]:
+    """Append what a handler makes of the rows to `path`; returns the records that it cannot take, with its error.
+
+    The rows are handled together. If that fails, they are halved by a hash until each failing record
+    stands alone, so a few of them cost a few small jobs and all others are handled as usual. A handler that fails on
+    more than `most_failing` records is broken itself: its error is raised.
+    """
+    held = materialize(rows.withColumn("_number", F.monotonically_increasing_id()), "handled")
+    numbered = held.withColumn("_bits", F.xxhash64("_number"))
+    waiting, failing, whole = [(0, 0)], [], None
+    while waiting:
+        depth, prefix = waiting.pop()
+        inside = F.col("_bits").bitwiseAND((1 << depth) - 1) == prefix
+        part = numbered.where(inside) if depth else numbered
+        try:
+            handle(part.drop("_number", "_bits")).write.mode("append").parquet(path)
+        except (PySparkException, Py4JJavaError) as error:
+            whole = held.count() if whole is None else whole
+            size = part.count() if whole < 4 << depth else whole  # only small parts need counting
+            if size > 1 and depth < 62:
+                waiting += [(depth + 1, prefix), (depth + 1, prefix | 1 << depth)]
+                continue
+            if len(failing) == most_failing or not size:
+                raise
+            failing.append((part.drop("_number", "_bits"), str(error).strip().splitlines()[-1][:500]))
+    return failing
+
+
 def start_with_quarantine(
     decoded: DataFrame, good_path: str, bad_path: str, checkpoint: str,
     handle: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
@@ -49,13 +85,22 @@ def start_with_quarantine(
 ) -> StreamingQuery:
     """Process good records and set bad ones aside, so one bad record never stops the stream.
 
-    Each batch replaces its own folder: a batch repeated after a failure leaves one copy.
+    Bad are records that do not parse, and those on which `handle` raises: these are kept as JSON text
+    with the error. Each batch replaces its own folder: a batch repeated after a failure leaves one copy.
     """
     def split(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         good = good_rows(kept)
-        (handle(good) if handle else good).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        bad_rows(kept, keep).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        target = f"{good_path}/batch={number}"
+        bad = bad_rows(kept, keep).withColumn("error", F.lit(None).cast("string"))
+        if handle is None:
+            good.write.mode("overwrite").parquet(target)
+        else:
+            handle(good.limit(0)).write.mode("overwrite").parquet(target)
+            for record, error in handle_each(good, handle, target):
+                text = F.to_json(F.struct(*[F.col(c) for c in record.columns]), {"ignoreNullFields": "false"})
+                bad = bad.unionByName(record.select(*keep, text.alias("value"), F.lit(error).alias("error")))
+        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
         kept.unpersist()
 
     writer = decoded.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
