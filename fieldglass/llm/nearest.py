@@ -34,7 +34,8 @@ SAMPLE = 1 << 20  # components of a group's points that fix its hashes and begin
 AUDIT = 256  # queries whose true neighbours fix the number of visits
 RECALL = 0.95  # of the audit
 MOST_VISITS = (64, 256, 1_024)  # of a table, tried in turn; where the last do not do, every point is compared
-POINT_BLOCK, QUERY_BLOCK = 16_384, 512
+POINT_BLOCK, QUERY_BLOCK = 16_384, 8_192
+_TOGETHER = 256  # queries of a block whose products are held at once
 _SPARE = 4  # products in blocks may order near ties otherwise than exact ones
 
 
@@ -354,17 +355,25 @@ def best_of_block(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         return empty
     order = np.argsort(lo, kind="stable")
     who, lo, hi = who[order], lo[order], hi[order]
-    scores = np.full((len(asks), len(have)), -np.inf)
-    starts = np.flatnonzero(np.r_[True, lo[1:] != lo[:-1]])
-    for start, end in zip(starts, [*starts[1:], len(lo)], strict=True):
-        rows, own = who[start:end], slice(lo[start], hi[start])
-        scores[rows, own] = asks[rows] @ have[own].T
     many = min(k + _SPARE, len(have))
-    best = np.argpartition(-scores, many - 1, axis=1)[:, :many]
-    query = np.repeat(np.arange(len(asks)), many)
-    bound = queries["bound"].to_numpy()[query]
-    kept = scores[query, best.ravel()] >= np.where(np.isfinite(bound), bound - 1e-9 * np.abs(bound), -1.7e308)
-    query, point = query[kept], best.ravel()[kept]
+    bounds = queries["bound"].to_numpy()
+    least = np.where(np.isfinite(bounds), bounds - 1e-9 * np.abs(bounds), -1.7e308)
+    found = []
+    for first in range(0, len(asks), _TOGETHER):
+        own = (who >= first) & (who < first + _TOGETHER)
+        some, start, end = who[own] - first, lo[own], hi[own]
+        if not len(some):
+            continue
+        scores = np.full((min(_TOGETHER, len(asks) - first), len(have)), -np.inf)
+        cuts = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+        for a, b in zip(cuts, [*cuts[1:], len(start)], strict=True):
+            rows, bucket_rows = some[a:b], slice(start[a], end[a])
+            scores[rows, bucket_rows] = asks[first + rows] @ have[bucket_rows].T
+        best = np.argpartition(-scores, many - 1, axis=1)[:, :many].ravel()
+        row = np.repeat(np.arange(len(scores)), many)
+        kept = scores[row, best] >= least[first + row]
+        found.append((first + row[kept], best[kept]))
+    query, point = (np.concatenate(parts) for parts in zip(*found, strict=True))
     return pa.table({
         "query": queries["query"].take(pa.array(query)), "point": points["point"].take(pa.array(point)), "first_id": points["first_id"].take(pa.array(point)),
         "score": pa.array(exact(asks[query], have[point]))})
