@@ -31,6 +31,7 @@ MOST_HASHES = 24
 BUCKET = 256  # points that meet in a bucket, at most, as the sample tells
 REGION = 16_384  # points of a region, about
 SAMPLE = 1 << 20  # components of a group's points that fix its hashes and begin every answer
+SAMPLE_SHARE = 8  # an eighth of the points at most
 AUDIT = 256  # queries whose true neighbours fix the number of visits
 RECALL = 0.95  # of the audit
 MOST_VISITS = (64, 256, 1_024)  # of a table, tried in turn; where the last do not do, every point is compared
@@ -187,13 +188,13 @@ class Sample:
 
 
 def fitted_groups(points: DataFrame) -> tuple[list[Hashes], dict[int, Sample]]:
-    """The hashes of every group, and a sample of every dimension; a group gives SAMPLE components at most."""
+    """The hashes of every group, and a sample of every dimension; a group gives SAMPLE components and one point in SAMPLE_SHARE at most."""
     groups = points.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy("dim", "band").collect()
     out, taken = [], {}
     for group, row in enumerate(groups):
         dim = row["dim"]
         own = points.where((F.col("dim") == dim) & (F.col("band") == row["band"])).select("point", F.col("ids")[0].alias("first_id"), "vector")
-        rows = own.orderBy(F.xxhash64("vector"), "vector").limit(max(1, SAMPLE // dim)).collect()
+        rows = own.orderBy(F.xxhash64("vector"), "vector").limit(max(1, min(SAMPLE // dim, row["n"] // SAMPLE_SHARE))).collect()
         vectors = np.array([r["vector"] for r in rows], np.float64).reshape(-1, dim)
         out.append(fit(group, dim, row["n"], row["longest"], vectors))
         taken.setdefault(dim, []).append(Sample(np.array([r["point"] for r in rows]), np.array([r["first_id"] for r in rows]), vectors))
