@@ -147,29 +147,29 @@ def near_duplicates(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
     similarity: float = SIMILARITY, shard: int = SHARD,
 ) -> DataFrame:
-    """One row per id: id, n_links, component_id, kept.
+    """One row per row of `vectors`: id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, they have the same dimension, and their
     cosine in double precision is at least `similarity`. Vectors that are null, empty, zero or hold a
-    null or non-finite component link with nothing. Rows with one id are one vector, the first by
-    label and components. A null id links with nothing and has a null component.
+    null or non-finite component link with nothing. Ids may have any type that can be ordered, and may
+    be null or repeated: rows are told apart by a number given when they are written, and repeated rows
+    are vectors of their own that link with each other. component_id is the smallest id reachable, null
+    if there is none but null ids; kept is whether the row's id is that id.
     """
     values = F.col("vector")
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
-    one = vectors.select(F.col(id_column).alias("id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
-    several = one.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
-    several = keep_once(several, "repeated-ids")
-    again = one.join(several, "id", "left_semi").groupBy("id").agg(F.min(F.struct("label", "vector")).alias("v")).select("id", "v.label", "v.vector")
-    single = one.where("id is not null").join(several, "id", "left_anti").unionByName(again)
+    every = keep_once(vectors.select(
+        F.monotonically_increasing_id().alias("node"), F.col(id_column).alias("id"), F.col(label_column).cast("string").alias("label"),
+        F.col(vector_column).cast("array<double>").alias("vector")), "vectors")
     fit = F.col("label").isNotNull() & F.coalesce(
         (F.size("vector") > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size > 0) & (size < float("inf")), F.lit(False))
-    usable = keep_once(single.where(fit).withColumn("dim", F.size("vector")), "vectors")
+    usable = every.drop("id").where(fit).withColumn("dim", F.size("vector"))
     shards = usable.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    placed = usable.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    placed = usable.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        data = pack_shard(rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64))
+        rows = rows.sort_values("node")
+        data = pack_shard(rows["node"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "graph": [data]})
 
     graphs = keep_once(placed.groupBy("label", "dim", "shard").applyInPandas(build, "label string, dim int, shard int, graph binary"), "graphs")
@@ -186,10 +186,13 @@ def near_duplicates(
 
     dealt = met.withColumn("asked", F.when(F.col("shard") != F.col("other"), F.col("asked")))
     found = keep_once(dealt.groupBy("label", "dim", "shard", "other").applyInPandas(search, "id bigint, root bigint, n_links bigint"), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    components = connected_components(found, "id", "root")
-    out = one.select("id").distinct().join(counts, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
+    counts = found.groupBy(F.col("id").alias("node")).agg(F.sum("n_links").alias("n_links"))
+    rows = every.select("node", "id")
+    linked = rows.join(connected_components(found, "id", "root"), "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    smallest = linked.join(least, "component").select("node", "least")
+    out = rows.join(counts, "node", "left").join(smallest, "node", "left")
+    component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
