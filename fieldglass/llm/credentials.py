@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldglass.llm.tables import bound_batches, keep_once
+from fieldglass.llm.tables import keep_once, spare_names
 
 # Base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -213,20 +213,21 @@ def span_text(spans: str) -> F.Column:
 def redact(docs: DataFrame, text_column: str = "text", size_column: str | None = "n_chars", scope: int = SCOPE) -> DataFrame:
     """The rows with every reported span replaced by its kind in angle brackets; overlapping spans become one.
 
-    Texts without a span come back as they are, null included, and so does their size. The session's
-    Arrow batches are lowered, as the plan runs when the caller writes it.
+    Texts without a span come back as they are, null included, and so does their size. Columns are
+    unchanged, whatever their names. The rows are written once, with small Arrow batches, as texts are
+    long; the session's setting stays as it is.
     """
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: redacted(t, scope) if isinstance(t, str) else None)
 
-    bound_batches(docs.sparkSession)
-    new = docs.withColumn("_clean", F.pandas_udf(cut, "string")(text_column))
-    changed = F.col("_clean") != F.col(text_column)
-    out = {text_column: F.col("_clean")}
+    clean, = spare_names(docs, "_clean")
+    new = docs.withColumn(clean, F.pandas_udf(cut, "string")(text_column))
+    changed = F.col(clean) != F.col(text_column)
+    out = {text_column: F.col(clean)}
     if size_column:
-        out[size_column] = F.when(changed, F.length("_clean").cast(docs.schema[size_column].dataType)).otherwise(F.col(size_column))
-    return new.withColumns(out).select(*docs.columns)
+        out[size_column] = F.when(changed, F.length(clean).cast(docs.schema[size_column].dataType)).otherwise(F.col(size_column))
+    return keep_once(new.withColumns(out).select(*docs.columns), "redacted")
 
 
 def linked_in_text(text: str, strong: list, weak: list, scope: int) -> list[tuple[int, int, int]]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.llm.components import connected_components
-from fieldglass.llm.tables import IDENTITY, discard, keep_once, with_identity
+from fieldglass.llm.tables import IDENTITY, discard, keep_once, spare_names, with_identity
 from fieldglass.llm.texthash import groups_of_texts, mix, seed_number, word_hashes
 
 SHINGLE = 5
@@ -374,14 +374,15 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that are kept, one of each group of near copies; columns unchanged."""
-    found = near_duplicates(docs, id_column, text_column, **options)
-    repeated = keep_once(_repeated(found), "repeated-rows")
-    kept = found.where("kept").select(*IDENTITY)
+    """The rows of `docs` that are kept, one of each group of near copies; columns unchanged, whatever their names."""
+    found = near_duplicates(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "id", "text", **options)
+    names = spare_names(docs, *IDENTITY)
+    repeated = keep_once(_repeated(found), "repeated-rows").toDF(*names)
+    kept = found.where("kept").select(*IDENTITY).toDF(*names)
     # Equal rows share their identity: those are set apart, and of each kept one an aggregate picks a row.
-    gone = keep_once(found.where("not kept").select(*IDENTITY).unionByName(repeated).distinct(), "rows-set-apart")
-    named = with_identity(docs, id_column, text_column)
-    single = named.join(gone, IDENTITY, "left_anti")
-    again = named.join(repeated.join(kept, IDENTITY, "left_semi"), IDENTITY, "left_semi")
-    one = again.groupBy(*IDENTITY).agg(*[F.first(c).alias(c) for c in docs.columns])
+    gone = keep_once(found.where("not kept").select(*IDENTITY).toDF(*names).unionByName(repeated).distinct(), "rows-set-apart")
+    named = with_identity(docs, id_column, text_column, names)
+    single = named.join(gone, names, "left_anti")
+    again = named.join(repeated.join(kept, names, "left_semi"), names, "left_semi")
+    one = again.groupBy(*names).agg(*[F.first(c).alias(c) for c in docs.columns])
     return single.select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.tables import code_point_order, keep_once
+from fieldglass.llm.tables import code_point_order, keep_once, spare_names
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -179,11 +179,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """The mixed rows: each document as often as the mix takes it, with `_shard` and `_order`, its place in a local shuffle.
 
     Rows with the same id and source are taken alike. Writing with `partitionBy("_shard")` after
-    `sortWithinPartitions("_shard", "_order")` gives the shuffled shards.
+    `sortWithinPartitions("_shard", "_order")` gives the shuffled shards. Columns of `docs` are kept
+    whatever their names: if one is called `_shard` or `_order`, the new one gets an underscore more.
     """
     plan = allocate(docs, id_column, text_column, source_column, **options)
-    alike = keep_once(plan.groupBy(F.col("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.max("shards").alias("_shards")), "mix-plan")
+    shard, order, copy, key_id, key_source, key_words, shards = spare_names(docs, "_shard", "_order", "_copy", "_id", "_of", "_words", "_shards")
+    alike = keep_once(plan.groupBy("id", "source", "size").agg(F.max("shards").alias("shards")), "mix-plan").toDF(key_id, key_source, key_words, shards)
     words = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(alike, docs[id_column].eqNullSafe(alike["id"]) & docs[source_column].eqNullSafe(alike["of"]) & (words == alike["words"]))
-    copies = joined.select(*[docs[c] for c in docs.columns], F.posexplode("_shards").alias("_copy", "_shard"))
-    return copies.withColumn("_order", F.xxhash64(F.col(id_column), F.col(text_column), F.col("_copy"), F.col("_shard")))
+    joined = docs.join(alike, F.col(id_column).eqNullSafe(F.col(key_id)) & F.col(source_column).eqNullSafe(F.col(key_source)) & (words == F.col(key_words)))
+    copies = joined.select(*docs.columns, F.posexplode(shards).alias(copy, shard))
+    return copies.withColumn(order, F.xxhash64(F.col(id_column), F.col(text_column), F.col(copy), F.col(shard)))

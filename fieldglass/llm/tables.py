@@ -18,13 +18,6 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH = 1_000  # rows that a Python worker holds at once: texts and sets are long
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH rows, for a plan that the caller runs later."""
-    now = int(spark.conf.get(ARROW_ROWS))
-    if now <= 0 or now > BATCH:
-        spark.conf.set(ARROW_ROWS, str(BATCH))
-
-
 def keep_once(df: DataFrame, label: str, batch: int = BATCH) -> DataFrame:
     """Write a table to the shared folder, with Arrow batches of `batch` rows at most, and read it back."""
     spark = df.sparkSession
@@ -47,14 +40,25 @@ def discard(df: DataFrame) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def with_identity(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Add two never-null hashes that name a row by its id and whole text.
+def spare_names(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that `df` does not have, in any case: underscores are added until it is free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_identity(df: DataFrame, id_column: str, text_column: str, names: list[str] = IDENTITY) -> DataFrame:
+    """Add two never-null hashes, called `names`, that name a row by its id and whole text.
 
     Ids may be null or repeated; rows with the same id and text are the same row to every operator.
     """
     return df.withColumns({
-        "_id_a": F.xxhash64(F.col(id_column), F.col(text_column)),
-        "_id_b": F.xxhash64(F.col(text_column), F.lit(29), F.col(id_column)),
+        names[0]: F.xxhash64(F.col(id_column), F.col(text_column)),
+        names[1]: F.xxhash64(F.col(text_column), F.lit(29), F.col(id_column)),
     })
 
 
