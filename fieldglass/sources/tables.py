@@ -20,13 +20,17 @@ WIN_PROB_COLUMNS = [
 
 def read_seasons(
     spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """Season files united by column name; a column missing in a season is null there.
 
-    Only the asked columns are read, and later filters reach the parquet reader.
+    Only the asked columns are read, and later filters reach the parquet reader. With a `schema` no
+    footer is read to plan: it names all columns that any season may have. Without one the seasons'
+    schemas are merged, which reads the footer of every file.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.option("mergeSchema", True).parquet(*listed)
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
+    df = reader.parquet(*listed)
     return df if columns is None else df.select(*columns)
 
 
@@ -51,10 +55,10 @@ def nan_columns_to_null(df: DataFrame) -> DataFrame:
 
 def read_win_prob_plays(
     spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = tuple(WIN_PROB_COLUMNS),
-    keep: Column | None = None, possession: str = "posteam",
+    keep: Column | None = None, possession: str = "posteam", schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """The in-play model's columns of labelable plays; projection and filters run in the reader."""
-    df = read_seasons(spark, paths, [*columns, possession])
+    df = read_seasons(spark, paths, [*columns, possession], schema)
     return df.where(labelable() if keep is None else keep).select(*columns)
 
 
