@@ -10,6 +10,8 @@ disjoint runs of the source's permuted draws and order their documents by a hash
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from fieldglass.llm.tables import code_point_order, keep_once, spare_names
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 20_000  # target words of a block
+RUN = 4_096  # blocks whose sizes are summed in one go
 DEPTH = 4  # the tree has 2^DEPTH leaves, one per output shard
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,8 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most_repeats: int
 def split_quotas(quotas: DataFrame, depth: int = DEPTH, seed: int = 11) -> DataFrame:
     """(position, shard, first, last): the draws of each source that each leaf gets; `quotas` has one row with an array.
 
-    Every level doubles the nodes. At a node half of the draws go left: going through its sources'
-    draws, one goes left with chance (places left) / (draws left), which samples without replacement.
+    Every level doubles the nodes. At a node half of the draws go left: source by source, the number
+    that goes left is drawn from the hypergeometric law of the draws and places still open.
     """
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "quotas")
     for level in range(depth):
@@ -80,26 +83,78 @@ def split_quotas(quotas: DataFrame, depth: int = DEPTH, seed: int = 11) -> DataF
 
 
 def _left_share(quotas: Column, total: Column, seed: Column, shard: Column) -> Column:
+    """How many of each source's draws go left, source by source: the rest of the node is what the next one draws from."""
     start = F.struct(
         total.alias("open"), F.floor((total + shard % 2) / 2).alias("places"), F.array().cast("array<bigint>").alias("left"))
 
     def of_source(state: Column, quota: Column) -> Column:
-        position = F.size(state["left"])
-        drawn = F.aggregate(
-            F.when(quota > 0, F.sequence(F.lit(1).cast("long"), quota)).otherwise(F.array().cast("array<bigint>")),
-            F.struct(state["open"].alias("open"), state["places"].alias("places")),
-            lambda s, j: F.struct(
-                (s["open"] - 1).alias("open"),
-                (s["places"] - F.when(
-                    F.pmod(F.xxhash64(seed, shard, position, j), s["open"]) < s["places"], 1).otherwise(0)).alias("places")))
-        # `drawn` is used twice; a one-element transform keeps it evaluated once.
-        return F.element_at(F.transform(F.array(drawn), lambda d: F.struct(
-            d["open"].alias("open"), d["places"].alias("places"),
-            F.concat(state["left"], F.array(state["places"] - d["places"])).alias("left"))), 1)
+        chance = F.shiftrightunsigned(F.xxhash64(seed, shard, F.size(state["left"])), 11) / F.lit(2.0**53)
+        drawn = hypergeometric(state["open"], quota, state["places"], chance)
+        return _once(drawn, lambda d: F.struct(
+            (state["open"] - quota).alias("open"), (state["places"] - d).alias("places"),
+            F.concat(state["left"], F.array(d)).alias("left")))
 
     return F.aggregate(quotas, start, of_source, lambda s: s["left"])
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hypergeometric(everything: Column, marked: Column, taken: Column, chance: Column) -> Column:
+    """How many of `taken` places, out of `everything`, hold one of the `marked`, at a uniform `chance` from 0 to 1.
+
+    Inversion from the mode outwards: neighbouring probabilities have a simple ratio, so weights are
+    relative to the mode's and are summed first. Steps go twelve standard deviations to both sides,
+    where weights end below the resolution of a double; time and memory grow with the square root of
+    the places, not with them.
+    """
+    n, k, m = (c.cast("double") for c in (everything, marked, taken))
+    least, most = F.greatest(F.lit(0.0), m + k - n), F.least(m, k)
+    spread = F.sqrt(F.greatest(F.lit(0.0), m * (k / n) * (1 - k / n) * (n - m) / F.greatest(n - 1, F.lit(1.0))))
+    mode = F.least(most, F.greatest(least, F.floor((m + 1) * ((k + 1) / (n + 2))).cast("double")))
+    reach = F.least(most - least, F.ceil(12 * spread) + 30).cast("long")
+
+    def draw(fixed: Column) -> Column:
+        n, k, m, mode, chance = (fixed[c] for c in ("n", "k", "m", "mode", "chance"))
+        steps = F.sequence(F.lit(1).cast("long"), fixed["reach"])
+
+        def up(weight: Column, at: Column) -> Column:  # weight of at + 1, from that of at
+            return weight * ((k - at) / (at + 1)) * ((m - at) / (n - k - m + at + 1))
+
+        def down(weight: Column, at: Column) -> Column:
+            return weight * (at / (k - at + 1)) * ((n - k - m + at) / (m - at + 1))
+
+        def ahead(s: Column, j: Column) -> tuple[Column, Column]:
+            return up(s["up"], mode + j - 1), down(s["down"], mode - j + 1)
+
+        def add(s: Column, j: Column) -> Column:
+            higher, lower = ahead(s, j)
+            return _once(F.struct(higher.alias("up"), lower.alias("down")), lambda w: F.struct(
+                (s["sum"] + w["up"] + w["down"]).alias("sum"), w["up"].alias("up"), w["down"].alias("down")))
+
+        one = F.lit(1.0)
+        total = F.aggregate(steps, F.struct(one.alias("sum"), one.alias("up"), one.alias("down")), add, lambda s: s["sum"])
+
+        def walk(wanted: Column) -> Column:
+            def pick(s: Column, j: Column) -> Column:
+                higher, lower = ahead(s, j)
+                return _once(F.struct(higher.alias("up"), lower.alias("down")), lambda w: F.struct(
+                    F.coalesce(s["at"], F.when(wanted < s["sum"] + w["up"], mode + j).when(
+                        wanted < s["sum"] + w["up"] + w["down"], mode - j)).alias("at"),
+                    (s["sum"] + w["up"] + w["down"]).alias("sum"), w["up"].alias("up"), w["down"].alias("down")))
+
+            begin = F.struct(F.when(wanted < 1, mode).alias("at"), one.alias("sum"), one.alias("up"), one.alias("down"))
+            return F.coalesce(F.aggregate(steps, begin, pick, lambda s: s["at"]), mode)
+
+        return F.when(fixed["reach"] < 1, mode).otherwise(_once(chance * total, walk)).cast("long")
+
+    parts = F.struct(*[c.alias(name) for c, name in (
+        (n, "n"), (k, "k"), (m, "m"), (mode, "mode"), (reach, "reach"), (chance, "chance"))])
+    return F.when(everything > 0, _once(parts, draw)).otherwise(F.lit(0).cast("long"))
+
+
 def allocate(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
     weights: tuple = WEIGHTS, most_repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, depth: int = DEPTH,
@@ -146,11 +201,19 @@ def draw_plan(sized: DataFrame, weights: tuple, most_repeats: int, block_words:
         "passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0),
     }), "mix-targets")
     sizes = _with_block(sized, targets).groupBy("key", "block").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = sizes.join(targets.select("key", "source_size", "target", "passes"), "key").withColumns({
-        "through": F.sum("words").over(run),
-        "place": F.row_number().over(Window.partitionBy("key").orderBy("block")) - 1,
-        "found": F.count("*").over(Window.partitionBy("key")),
+    # Running sums in two levels: over runs of blocks, then inside a run, so a large source is summed by many tasks.
+    sizes = sizes.withColumn("run", F.floor(F.col("block") / RUN))
+    runs_of = sizes.groupBy("key", "run").agg(F.sum("words").alias("run_words"), F.count("*").alias("run_blocks"))
+    earlier = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs_of.select(
+        "key", "run", F.coalesce(F.sum("run_words").over(earlier), F.lit(0)).alias("words_before"),
+        F.coalesce(F.sum("run_blocks").over(earlier), F.lit(0)).alias("blocks_before"),
+        F.sum("run_blocks").over(Window.partitionBy("key")).alias("found"))
+    inside = Window.partitionBy("key", "run").orderBy("block")
+    placed = sizes.join(before, ["key", "run"]).join(targets.select("key", "source_size", "target", "passes"), "key")
+    blocks = placed.withColumns({
+        "through": F.col("words_before") + F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "place": F.col("blocks_before") + F.row_number().over(inside) - 1,
         "left_over": F.col("target") - F.col("passes") * F.col("source_size"),
     })
     full = (F.col("through") <= F.col("left_over")) & (F.col("left_over") > 0)
@@ -168,9 +231,11 @@ def draw_plan(sized: DataFrame, weights: tuple, most_repeats: int, block_words:
     per_source = targets.join(numbered.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
     quotas = per_source.agg(F.transform(
         F.sort_array(F.collect_list(F.struct("key", F.coalesce("n", F.lit(0)).alias("n")))), lambda s: s["n"].cast("long")).alias("quotas"))
-    runs = split_quotas(quotas, depth).select(
-        F.col("position").alias("key"), "shard", F.explode(F.sequence("first", "last")).alias("draw"))
-    shards = numbered.join(runs, ["key", "draw"]).groupBy("key", "block").agg(
+    leaves = split_quotas(quotas, depth).groupBy(F.col("position").cast("long").alias("key")).agg(
+        F.collect_list(F.struct("first", "last", "shard")).alias("leaves"))
+    leaf = F.element_at(F.filter("leaves", lambda x: F.col("draw").between(x["first"], x["last"])), 1)["shard"]
+    dealt = numbered.join(leaves, "key").select("key", "block", "draw", leaf.alias("shard"))
+    shards = dealt.groupBy("key", "block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("draw", "shard"))), lambda s: s["shard"]).alias("shards"))
     return {"targets": targets}, blocks.select("key", "block", "whole", "edge_words").join(shards, ["key", "block"], "left")
 
