@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,31 +226,36 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     The next document is the one after it by descending id, of the last one the first; null ids come
     last, and rows with one id follow a hash of their texts. Null text is empty. A document that is
-    alone is its own next. Ids are cut into consecutive blocks at quantiles, so texts are shuffled
-    once; the first document of a block goes to the block before it as well.
+    alone is its own next. Ids may be numbers, text or dates. Rows are cut into consecutive blocks by id
+    and hash, so an id in very many rows is many blocks and texts are shuffled once; the first document
+    of a block goes to the block before it as well.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    number = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
-    ids = docs.select(F.col(id_column).alias("id"))
-    steps = [i / (BLOCKS * n) for i in range(1, BLOCKS * n)]
-    cuts = ids.agg(F.percentile_approx(F.col("id").cast("double"), steps, 100 * BLOCKS * n)).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.float64))
-
-    def block(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for numbers in batches:  # block 0 holds the greatest ids
-            yield pd.Series((len(bounds) - np.searchsorted(bounds, numbers.to_numpy(), "right")).astype(np.int32))
-
-    block_of = F.pandas_udf(block, "int")(number)
-    # One row per block: the id it begins with, and the block before it.
-    heads = ids.withColumn("block", block_of).groupBy("block").agg(F.max("id").alias("head"))
-    present = sorted((r["block"], r["head"]) for r in heads.collect())
-    before = [(b, h, present[i - 1][0]) for i, (b, h) in enumerate(present)]
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    keys = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("tie"))
+    ranged = keys.repartitionByRange(BLOCKS * n, F.col("id").desc_nulls_last(), F.desc("tie"))
+    # One row per block: its greatest (id, hash of the text), which is its first document.
+    heads = sorted(_key(r["h"]["id"], r["h"]["tie"]) for r in ranged.groupBy(
+        F.spark_partition_id().alias("part")).agg(F.max(F.struct("id", "tie")).alias("h")).collect())
+    some = next((id_ for known, id_, _ in heads if known), None)
+
+    def place(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for known, ids, ties in batches:  # block 0 holds the greatest ids; odd numbers mark a block's first document
+            out = []
+            for row in zip(known.tolist(), ids.tolist(), ties.tolist(), strict=True):
+                key = _key(row[1] if row[0] else None, row[2])
+                at = bisect_left(heads, key)
+                out.append(2 * (len(heads) - 1 - at) + (heads[at] == key))
+            yield pd.Series(out, dtype=np.int64)
+
     id_type = docs.schema[id_column].dataType.simpleString()
-    lookup = docs.sparkSession.createDataFrame(before, f"block int, head {id_type}, before int")
-    own = rows.withColumn("block", block_of).join(F.broadcast(lookup), "block")
-    also = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("before").alias("block"), F.lit(1).alias("copy"))))
-    placed = own.select("id", "text", F.xxhash64("text").alias("tie"), F.explode(F.concat(
+    filled = F.coalesce(F.col("id"), F.lit(some).cast(id_type)) if some is not None else F.lit(0)
+    rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    own = rows.withColumn("place", F.pandas_udf(place, "bigint")(F.col("id").isNotNull(), filled, F.col("tie"))).select(
+        "id", "text", "tie", F.floor(F.col("place") / 2).cast("int").alias("block"), (F.col("place") % 2 == 1).alias("first"))
+    before = F.pmod(F.col("block") - 1, F.lit(max(1, len(heads))))
+    also = F.when(F.col("first"), F.array(F.struct(before.alias("block"), F.lit(1).alias("copy"))))
+    placed = own.select("id", "text", "tie", F.explode(F.concat(
         F.array(F.struct("block", F.lit(0).alias("copy"))), F.coalesce(also, F.array().cast("array<struct<block:int,copy:int>>")))).alias("at"))
     ordered = placed.select("at.*", "id", "text", "tie").repartition(n, "block").sortWithinPartitions(
         "block", "copy", F.col("id").desc_nulls_last(), F.desc("tie")).select("block", "copy", F.col("id").cast("string").alias("id"), "text")
@@ -258,6 +264,13 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return out.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_column)
 
 
+def _key(id_: object, tie: int) -> tuple:
+    """Sorts like (id, tie) in Spark: null first, then values, then not-a-number."""
+    if id_ is None:
+        return 0, 0, tie
+    return (2, 0, tie) if id_ != id_ else (1, id_, tie)
+
+
 def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, str, str]]:
     """(id, text, next text) from rows in order; a block's last document is followed by a copy of the next block's first."""
     held = None
