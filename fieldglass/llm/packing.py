@@ -24,7 +24,6 @@ LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces packed together in one task
 FULL_ENOUGH = 0.999  # bins at or above this share of the length are not opened again
-NEIGHBOURS = 64  # bins that one bin tries to give its pieces to
 _CACHE = 600_000  # distinct words whose ids a worker remembers
 # The pre-tokeniser's pattern for lower-case Latin-1 text, and the mark of a word's last token.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
@@ -128,28 +127,33 @@ def pieces_of(
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The pieces with `sequence_id` and `offset`, gapless from 0, in as few sequences as found.
 
-    Pieces of full length are sequences by themselves. The others are dealt by a hash of their number
-    into groups of about `group` pieces; each is packed alone, and the pieces of bins that stay
-    underfull go to the next round, with fewer groups, until one group was left or most pieces come
-    back. Lengths are whole numbers from 1 to `length`. An empty table gives an empty table.
+    Pieces of full length are sequences by themselves. The others are dealt by a hash into groups of
+    about `group` pieces; each is packed alone, and bins that stay underfull go to the next round, with
+    other company, until one group was left or a round saves no sequence. A group keeps the bins it got
+    if packing its pieces anew does not save one, so no round loses. Lengths are whole numbers from 1 to
+    `length`. An empty table gives an empty table.
     """
     numbered = keep_once(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
-    open_pieces = numbered.where(F.col("length") < length).select("_piece", "length")
+    open_pieces = numbered.where(F.col("length") < length).select(
+        "_piece", "length", F.col("_piece").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     settled = [numbered.where(F.col("length") >= length).select(
         "_piece", (-1 - F.col("_piece")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     count, level = open_pieces.count(), 0
+    bins = count  # sequences of the open pieces so far: each alone
     while count:
         groups = -(-count // group)
-        dealt = open_pieces.withColumn("group", F.pmod(F.xxhash64("_piece", F.lit(level)), F.lit(groups)))
+        dealt = open_pieces.withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
         packed = keep_once(dealt.groupBy("group").applyInPandas(
             _group_packer(level, groups == 1, length), "_piece bigint, length bigint, sequence_id bigint, offset bigint, done boolean"), f"packed-{level}")
         settled.append(packed.where("done").select("_piece", "sequence_id", "offset"))
-        open_pieces = packed.where("not done").select("_piece", "length")
-        left = open_pieces.count()
-        if 2 * left > count:  # pieces that hardly combine gain nothing from other company
-            settled.append(packed.where("not done").select("_piece", "sequence_id", "offset"))
+        open_pieces = packed.where("not done").drop("done")
+        # Every bin has one piece at offset 0.
+        found, underfull, left = packed.agg(
+            F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & ~F.col("done")), F.count_if(~F.col("done"))).first()
+        if found == bins:
+            settled.append(open_pieces.select("_piece", "sequence_id", "offset"))
             break
-        count, level = left, level + 1
+        count, bins, level = left, underfull, level + 1
     placed = settled[0]
     for table in settled[1:]:
         placed = placed.unionByName(table)
@@ -160,14 +164,20 @@ def _group_packer(level: int, last: bool, capacity: int):
     def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy()
         order = np.lexsort((rows["_piece"].to_numpy(), -lengths))
+        made = [order[members] for members in pack_bins(lengths[order], capacity)]
         of, offset, done = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), np.empty(len(rows), bool)
-        for b, members in enumerate(pack_bins(lengths[order], capacity)):
-            at = order[members]
-            of[at] = b
-            offset[at] = np.cumsum(lengths[at]) - lengths[at]
-            done[at] = last or lengths[at].sum() >= FULL_ENOUGH * capacity
+        kept = rows["sequence_id"].nunique() <= len(made) and level > 0
+        if kept:
+            of, offset = rows["sequence_id"].to_numpy(), rows["offset"].to_numpy()
+            filled = rows.groupby("sequence_id")["length"].transform("sum").to_numpy()
+            done = (filled >= FULL_ENOUGH * capacity) | last
+        else:
+            for b, at in enumerate(made):
+                of[at] = (level << 50) + (int(key[0]) << 24) + b
+                offset[at] = np.cumsum(lengths[at]) - lengths[at]
+                done[at] = last or lengths[at].sum() >= FULL_ENOUGH * capacity
         return pd.DataFrame({
-            "_piece": rows["_piece"], "length": lengths, "sequence_id": (level << 54) + (int(key[0]) << 24) + of,
+            "_piece": rows["_piece"], "length": lengths, "sequence_id": of,
             "offset": offset, "done": done})
 
     return pack_group
@@ -191,52 +201,98 @@ def pack_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     loads = [sum(sizes[i] for i in b) for b in bins]
     underfull = [b for b, load in enumerate(loads) if load < FULL_ENOUGH * capacity]
     spare = len(bins) - max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
-    if spare > 0:
-        local_search(bins, loads, sizes, underfull, capacity)
+    local_search(bins, loads, sizes, underfull, capacity, spare)
     return [b for b in bins if b]
 
 
-def local_search(bins: list[list[int]], loads: list[int], sizes: list[int], underfull: list[int], capacity: int) -> None:
-    """Empty the least filled bins into the others.
+def local_search(
+    bins: list[list[int]], loads: list[int], sizes: list[int], underfull: list[int], capacity: int, spare: int,
+) -> None:
+    """Empty up to `spare` of the least filled bins into the others.
 
-    Moves, one-for-one and two-for-one exchanges are taken when they raise the sum of squared fills:
-    what they add to a fuller bin they take from an emptier one. The emptiest bin gives to the
-    NEIGHBOURS fullest that have room, then the next; a bin is dropped when its last piece is gone.
+    Moves, one-for-one and two-for-one exchanges are taken when they raise the sum of squared fills,
+    the largest rise first. Every underfull bin is a taker. They are indexed by room: a taker with room
+    r gives up a piece of size s (or none, s = 0) for any total from s + 1 to s + r, so an exchange is
+    an interval that holds the total, and all intervals are tried at once. A bin is dropped when its
+    last piece is gone.
     """
-    order = sorted(underfull, key=lambda b: loads[b])
-    while len(order) > 1:
-        giver = order.pop(0)
-        for taker in order[: -NEIGHBOURS - 1: -1]:
-            while bins[giver] and (step := _best_exchange(bins[giver], bins[taker], sizes, capacity - loads[taker])):
-                out, back = step
-                for i in out:
-                    bins[giver].remove(i)
-                    bins[taker].append(i)
-                for i in back:
-                    bins[taker].remove(i)
-                    bins[giver].append(i)
-                shift = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-                loads[giver] -= shift
-                loads[taker] += shift
-            if not bins[giver]:
-                break
-        order = sorted((b for b in order if loads[b] < capacity), key=lambda b: loads[b])
-
-
-def _best_exchange(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills the taker most: one piece for none, one for one, or two for one."""
-    if room <= 0:
-        return None
-    best, gain = None, 0
-    for i in giver:
-        if gain < sizes[i] <= room:
-            best, gain = ([i], []), sizes[i]
-    back = sorted((sizes[j], j) for j in taker)
-    for a, i in enumerate(giver):
-        for sent in ([i], *([i, k] for k in giver[a + 1:])):
-            total = sum(sizes[x] for x in sent)
-            # The least piece to take back that makes the exchange fit gives the largest gain.
-            at = bisect_left(back, (total - room, -1))
-            if at < len(back) and gain < total - back[at][0] <= room:
-                best, gain = (sent, [back[at][1]]), total - back[at][0]
-    return best
+    if spare <= 0 or len(underfull) < 2:
+        return
+    index = _Takers(bins, loads, sizes, underfull, capacity)
+    for giver in sorted(underfull, key=lambda b: loads[b]):
+        if spare <= 0:
+            return
+        index.close(giver)
+        while bins[giver] and (step := index.best(bins[giver], loads[giver])):
+            out, back, taker = step
+            for i in out:
+                bins[giver].remove(i)
+                bins[taker].append(i)
+            if back is not None:
+                bins[taker].remove(back)
+                bins[giver].append(back)
+            shift = sum(sizes[i] for i in out) - (0 if back is None else sizes[back])
+            loads[giver] -= shift
+            loads[taker] += shift
+            index.close(taker)
+            index.open(taker)
+        if bins[giver]:
+            index.open(giver)
+        else:
+            spare -= 1
+
+
+class _Takers:
+    """The intervals (s, s + room] of all pieces of the open bins, and of no piece, in arrays that bins enter and leave."""
+
+    def __init__(self, bins: list[list[int]], loads: list[int], sizes: list[int], underfull: list[int], capacity: int):
+        self.bins, self.loads, self.sizes, self.capacity = bins, loads, sizes, capacity
+        self.low, self.high, self.load, self.piece, self.bin = (np.zeros(0, np.int64) for _ in range(5))
+        self.places: dict[int, np.ndarray] = {}
+        self.free: list[int] = []
+        for b in underfull:
+            self.open(b)
+
+    def open(self, b: int) -> None:
+        room = self.capacity - self.loads[b]
+        if not room:
+            return
+        pieces = [-1, *self.bins[b]]
+        if len(self.free) < len(pieces):
+            old = len(self.low)
+            grown = max(1024, old, len(pieces))
+            for name in ("low", "high", "load", "piece", "bin"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(grown, np.int64)]))
+            self.free.extend(range(old, old + grown))
+        at = np.array([self.free.pop() for _ in pieces])
+        given = np.array([0, *(self.sizes[i] for i in self.bins[b])])
+        self.low[at], self.high[at], self.load[at], self.piece[at], self.bin[at] = given, given + room, self.loads[b], pieces, b
+        self.places[b] = at
+
+    def close(self, b: int) -> None:
+        at = self.places.pop(b, None)
+        if at is not None:
+            self.high[at] = 0  # holds no total
+            self.free.extend(at.tolist())
+
+    def best(self, giver: list[int], load: int) -> tuple[list[int], int | None, int] | None:
+        """(pieces sent, piece taken back, taker) of the exchange that raises squared fills most; totals sent twice are tried once."""
+        totals: dict[int, list[int]] = {}
+        for a, i in enumerate(giver):
+            totals.setdefault(self.sizes[i], [i])
+            for k in giver[a + 1:]:
+                totals.setdefault(self.sizes[i] + self.sizes[k], [i, k])
+        best, most = None, 0
+        for total, sent in totals.items():
+            if total >= 2 * self.capacity:
+                continue
+            at = np.flatnonzero((self.low < total) & (self.high >= total) & ((self.low > 0) | (len(sent) == 1)))
+            if not len(at):
+                continue
+            shift = total - self.low[at]
+            gain = shift * (self.load[at] - load + shift)
+            top = int(gain.argmax())
+            if gain[top] > most:
+                most, piece = int(gain[top]), int(self.piece[at[top]])
+                best = (sent, None if piece < 0 else piece, int(self.bin[at[top]]))
+        return best

@@ -293,7 +293,7 @@ def test_local_search_empties_bins():
     bins = packing.pack_bins(sizes, 10)
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
     hard = [[0], [1], [2]]
-    packing.local_search(hard, [5, 7, 6], [5, 7, 6], [0, 1, 2], 10)
+    packing.local_search(hard, [5, 7, 6], [5, 7, 6], [0, 1, 2], 10, 1)
     assert sorted(i for b in hard for i in b) == [0, 1, 2]
     rng = np.random.default_rng(1)
     for _ in range(20):
