@@ -270,20 +270,21 @@ def c10(spark, folder):
         "team", "season", "week", "game_id", "passer_player_id", "weather_bucket", "qb_weather_epa", "qb_weather_cpoe"))
 
 
-def _residuals(cells, rated):
-    """What each team's normal equation leaves over, for fitted ratings and the cells they were fitted on."""
+def _residuals(cells, rated, by=()):
+    """What each team's normal equation leaves over, for fitted ratings and the cells they were fitted on, per system `by`."""
     known = cells.where(F.col("n") > 0)
-    attack = rated.select(F.col("team").alias("off"), F.col("adj_off_epa").alias("a"))
-    defence = rated.select(F.col("team").alias("def"), F.col("adj_def_epa").alias("d"))
-    joined = known.join(attack, "off", "left").join(defence, "def", "left")
+    attack = rated.select(*by, F.col("team").alias("off"), F.col("adj_off_epa").alias("a"))
+    defence = rated.select(*by, F.col("team").alias("def"), F.col("adj_def_epa").alias("d"))
+    joined = known.join(attack, [*by, "off"], "left").join(defence, [*by, "def"], "left")
     effect = F.coalesce("a", F.lit(0.0)) + F.coalesce("d", F.lit(0.0))
-    base = joined.agg((F.sum(F.col("total") - F.col("n") * effect) / F.sum("n"))).scalar()
-    left = joined.select("off", "def", "a", "d", (F.col("total") - F.col("n") * (base + effect)).alias("left"))
+    bases = joined.groupBy(*by).agg((F.sum(F.col("total") - F.col("n") * effect) / F.sum("n")).alias("base"))
+    based = joined.join(bases, [*by]) if by else joined.withColumn("base", bases.scalar())
+    left = based.select(*by, "off", "def", "a", "d", (F.col("total") - F.col("n") * (F.col("base") + effect)).alias("left"))
     sides = [
-        left.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("team")).agg(
+        left.where(F.col(side).isNotNull()).groupBy(*by, F.col(side).alias("team")).agg(
             (F.sum("left") - ridge.ALPHA * F.max(value)).alias("residual")).withColumn("side", F.lit(side))
         for side, value in (("off", "a"), ("def", "d"))]
-    return sides[0].unionByName(sides[1]).select("team", "side", (F.abs("residual") < 1e-6).alias("solved"))
+    return sides[0].unionByName(sides[1]).select(*by, "team", "side", (F.abs("residual") < 1e-6).alias("solved"))
 
 
 def _residual_sql(past: str) -> str:
@@ -320,3 +321,21 @@ def b12(spark, folder):
 @query("b11_weather_features", f"WITH {STATS_CTE} SELECT game_id, is_dome, temp_f, wind_mph FROM weather")
 def b11(spark, folder):
     return weather_features(games(spark, folder))
+
+
+@query("d13_normal_equations", f"""{WITH_CLEAN},
+periods AS (SELECT season, week, row_number() OVER (ORDER BY season, week) AS ix FROM (
+  SELECT DISTINCT season, week FROM clean WHERE season IS NOT NULL AND week IS NOT NULL)),
+cells AS (SELECT ix, posteam AS off, defteam AS def FROM clean JOIN periods USING (season, week) GROUP BY ALL HAVING count(epa) > 0),
+past AS (SELECT p.season, p.week, c.off, c.def FROM cells c JOIN periods p ON p.ix > c.ix AND p.ix <= c.ix + {ridge.LOOKBACK})
+SELECT DISTINCT season, week, off AS team, 'off' AS side, true AS solved FROM past WHERE off IS NOT NULL
+UNION ALL SELECT DISTINCT season, week, def, 'def', true FROM past WHERE def IS NOT NULL""")
+def d13_normal_equations(spark, folder):
+    """Every week's ratings solve the normal equations of the weeks before it, team by team."""
+    clean = clean_plays(plays(spark, folder))
+    cells = ridge.play_cells(clean).dropna(subset=["season", "week"])
+    periods = timeline.period_index(cells)
+    spread = timeline.spread_over_lookback(cells.join(periods, ["season", "week"]).drop("season", "week"), periods, ridge.LOOKBACK)
+    history = spread.groupBy("asof_ix", "off", "def").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).join(
+        periods.withColumnRenamed("ix", "asof_ix"), "asof_ix")
+    return _residuals(history, ridge.opponent_adjusted_panel(clean), ["season", "week"])
