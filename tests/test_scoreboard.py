@@ -136,3 +136,33 @@ def test_homography_and_rectangles(spark):
     half = df.select(geometry.scale_rectangle(*rect, F.lit(640), F.lit(360)).alias("r")).first()["r"]
     assert tuple(half) == (90, 317, 540, 337)
     assert df.select(geometry.scale_rectangle(*rect, F.lit(640), F.lit(0)).alias("r")).first()["r"] is None
+
+
+def by_columns(ordered):
+    """The classes and fields of tokens by the column functions, one token at a time."""
+    cleaned = F.transform(ordered, lambda t: F.struct(t["x"], text.normalise_token(t["text"]).alias("clean")))
+    known = F.transform(cleaned, lambda t: F.struct(t["x"], t["clean"], tokens.early_rule(t["clean"]).alias("early"), text.team_text(t["clean"]).alias("team")))
+    team = lambda t: F.when(t["early"].isNull(), t["team"])
+    ruled = F.transform(known, lambda t: F.struct(t["x"], t["clean"], team(t).alias("team"), tokens.late_rule(t["clean"], t["early"], team(t)).alias("rule")))
+    return F.transform(ruled, lambda t: F.struct(t["x"], t["rule"], *[
+        c.alias(n) for n, c in tokens.token_fields(t["clean"], t["rule"], t["team"]).items()]))
+
+
+def test_tokens_read_in_batches_say_what_the_columns_say(spark):
+    parts = ["", "1", "ST", "ND", "ZND", "4TH", "OT", " & 7", "&", "12:05", "9.59", "KC", "CLE", "CLX", "CHIE", "straße", "ı", "07", "123", "é9"]
+    texts = [None, *[a + b for a in parts for b in parts]]
+    rows = [(0, None), (1, []), (2, [None, (1.0, None)]), *[(i + 3, [(1.0, t), (0.0, "x")]) for i, t in enumerate(texts)]]
+    df = spark.createDataFrame(rows, TOKENS).repartition(3)
+    both = df.select("f", tokens.order_tokens(F.col("tokens")).alias("o")).select(
+        "f", tokens.token_hits(F.col("o")).alias("hits"), by_columns(F.col("o")).alias("plain")).collect()
+    assert len(both) == len(rows) and all(r["hits"] == r["plain"] for r in both)
+
+
+def test_a_text_shown_by_many_frames_is_read_once(monkeypatch):
+    import pyarrow as pa
+    frames = pa.array([[{"x": 0.0, "text": "KC"}, {"x": 1.0, "text": "7"}]] * 500, pa.list_(pa.struct([("x", pa.float64()), ("text", pa.string())])))
+    read, plain = [], tokens.read_token
+    monkeypatch.setattr(tokens, "read_token", lambda t, teams: read.append(t) or plain(t, teams))
+    hits = tokens.read_arrays(frames.slice(100), ("KC", "only here"))
+    assert sorted(read) == ["7", "KC"] and len(hits) == 400
+    assert [h["team"] for h in hits[399].as_py()] == ["KC", None] and [h["score"] for h in hits[0].as_py()] == [None, 7]
