@@ -97,6 +97,30 @@ def test_a_broken_handler_stops_the_stream(spark, monkeypatch):
         quarantined(spark, refusing(list(range(12))), 12)
 
 
+def test_failing_records_of_many_shards(spark, monkeypatch):
+    """The limit holds for a shard, not for the batch, and a trial that succeeds writes nothing."""
+    monkeypatch.setattr(st, "SHARD_ROWS", 100)
+    monkeypatch.setattr(st, "FEW_ROWS", 16)
+    monkeypatch.setattr(st.handle_each, "__defaults__", (4,))
+    refused = {13, 14, 205, 406, 607, 808, 999}
+    rows, path = spark.range(1000).repartition(3), scratch_path(spark, "good")
+    aside = st.handle_each(rows, refusing(sorted(refused)), path).collect()
+    assert {r["id"]: f"refused {r['id']}" in r["_error"] for r in aside} == dict.fromkeys(refused, True) and len(aside) == len(refused)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == sorted(set(range(1000)) - refused)
+    assert len(spark.read.parquet(path).inputFiles()) <= 64
+    assert st.handle_each(rows, refusing([-1]), scratch_path(spark, "all")) is None
+
+
+def test_rows_that_only_fail_together_are_all_handled(spark):
+    def no_crowd(batch):
+        crowd = batch.groupBy().agg(F.when(F.count("*") > 5, F.raise_error(F.lit("crowd")).cast("long")).otherwise(F.lit(0)).alias("zero"))
+        return batch.crossJoin(crowd).select("id", (F.col("id") + F.col("zero")).alias("same"))
+
+    path = scratch_path(spark, "good")
+    aside = st.handle_each(spark.range(12), no_crowd, path)
+    assert aside.count() == 0 and sorted(r["same"] for r in spark.read.parquet(path).collect()) == list(range(12))
+
+
 def test_sliding_windows_and_late_rows(spark):
     path, out = scratch_path(spark, "samples"), scratch_path(spark, "out")
     schema = "clip string, t double, x double"
