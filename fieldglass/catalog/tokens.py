@@ -32,7 +32,7 @@ def word_tokens(spark, folder):
     """One row per token: (doc_id, i, text, clean)."""
     listed = words(spark, folder).select("doc_id", F.posexplode("words").alias("i", "w"))
     tokens = listed.withColumn("text", F.expr(TOKEN)).select("doc_id", "i", "text")
-    return tokens.withColumn("clean", tx.normalise_token(F.col("text")))
+    return tk.computed_once(tokens, tx.normalise_token(F.col("text")), "clean", ["doc_id", "i", "text"])
 
 
 def frames(spark, folder):
@@ -138,8 +138,8 @@ def h5(spark, folder):
 @query("h6_team_token", f"""{WITH_TOKENS}, p AS (SELECT *, {LETTERS_SQL} AS letters FROM c)
 SELECT doc_id, i, {closest_sql('letters', tx.TEAM_CODES, tx.TEAM_CUTOFF)} AS team FROM p WHERE length(letters) BETWEEN 2 AND 4""")
 def h6(spark, folder):
-    tokens = word_tokens(spark, folder)
-    return tokens.where(F.length(tx.letters_only(F.col("clean"))).between(2, 4)).select(
+    letters = tk.computed_once(word_tokens(spark, folder), tx.letters_only(F.col("clean")), "letters", ["doc_id", "i", "clean"])
+    return letters.where(F.length("letters").between(2, 4)).select(
         "doc_id", "i", tx.team_text(F.col("clean")).alias("team"),
     )
 
