@@ -96,29 +96,48 @@ SAID = {
 SILENT = (OTHER, None, None, None, None, None, None)
 HITS = "array<struct<x:double,rule:int,clock:string,down:int,distance:int,quarter:string,team:string,score:int>>"
 KNOWN_TEXTS = 1 << 17  # token texts a worker remembers
+# What a frame says before the lone team's side is known; places are those of the tokens read.
+SEEN = {
+    "raw_text": pa.string(), "quarter": pa.string(), "clock": pa.string(), "down": pa.int32(), "distance": pa.int32(),
+    "team1": pa.string(), "team2": pa.string(), "score1": pa.int32(), "score2": pa.int32(),
+    "team_x": pa.float64(), "away_x": pa.float64(), "home_x": pa.float64(), "n_teams": pa.int32(), "n_scores": pa.int32(),
+}
+SEEN_SCHEMA = (
+    "struct<raw_text:string,quarter:string,clock:string,down:int,distance:int,team1:string,team2:string,score1:int,score2:int,"
+    "team_x:double,away_x:double,home_x:double,n_teams:int,n_scores:int>"
+)
+_UNCLEAN, _UNLETTERED = re.compile("[^A-Z0-9&:.]"), re.compile("[^A-Z]")
+_PLACED, _DISTANCE, _ORDINAL = re.compile(tx.DOWN_DISTANCE), re.compile(tx.DISTANCE), re.compile(tx.LEADING_ORDINAL)
+_SCORE, _CLOCK = re.compile(tx.SCORE), re.compile(tx.CLOCK)
+
+
+@lru_cache(maxsize=KNOWN_TEXTS)
+def _closest(token: str, choices: tuple[str, ...], cutoff: float) -> str | None:
+    """`closest_text`, remembered: different texts come down to the same few letters."""
+    return tx.closest_text(token, choices, cutoff)
 
 
 def read_token(text: str, teams: Sequence[str] = tx.TEAM_CODES) -> tuple:
     """What one token says, in the order of `SAID`: the rules of `early_rule`, `late_rule` and `token_fields`."""
-    clean = re.sub("[^A-Z0-9&:.]", "", text.upper())
+    clean = _UNCLEAN.sub("", text.upper())
     clock = down = distance = quarter = team = score = None
-    placed, ordinal = re.search(tx.DOWN_DISTANCE, clean), re.search(tx.LEADING_ORDINAL, clean)
     if not clean:
         rule = EMPTY
     elif "&" in clean:
+        placed = _PLACED.search(clean)
         rule = DOWN_DISTANCE if placed else DISTANCE
-        after = placed[3] if placed else (re.search(tx.DISTANCE, clean) or ("", ""))[1]
+        after = placed[3] if placed else (_DISTANCE.search(clean) or ("", ""))[1]
         distance = int(after) if after else None
-        down = DOWN_NUMBERS.get(tx.closest_text(placed[1] + placed[2], tx.ORDINALS[:4], tx.DOWN_CUTOFF)) if placed else None
-    elif ordinal:
-        rule, quarter = QUARTER, tx.closest_text(ordinal[1] + ordinal[2], tx.ORDINALS, tx.QUARTER_CUTOFF)
+        down = DOWN_NUMBERS.get(_closest(placed[1] + placed[2], tuple(tx.ORDINALS[:4]), tx.DOWN_CUTOFF)) if placed else None
+    elif ordinal := _ORDINAL.search(clean):
+        rule, quarter = QUARTER, _closest(ordinal[1] + ordinal[2], tuple(tx.ORDINALS), tx.QUARTER_CUTOFF)
     else:
-        letters = re.sub("[^A-Z]", "", clean)
+        letters = _UNLETTERED.sub("", clean)
         if letters in teams or 2 <= len(letters) <= 4:
-            team = tx.closest_text(letters, teams, tx.TEAM_CUTOFF)
-        score = int(clean) if not team and re.search(tx.SCORE, clean) else None
+            team = _closest(letters, tuple(teams), tx.TEAM_CUTOFF)
+        score = int(clean) if not team and _SCORE.search(clean) else None
         rule = TEAM if team else OTHER if score is None else SCORE
-    shown = re.search(tx.CLOCK, clean) if rule >= QUARTER else None
+    shown = _CLOCK.search(clean) if rule >= QUARTER else None
     if shown:
         clock = f"{shown[1]}:{shown[2]}"
     return rule, clock, down, distance, quarter, team, score
@@ -130,14 +149,19 @@ def _reader(teams: tuple[str, ...]) -> Callable[[str], tuple]:
     return lru_cache(maxsize=KNOWN_TEXTS)(partial(read_token, teams=teams))
 
 
+def _read_texts(texts: pa.Array, teams: tuple[str, ...]) -> tuple[dict[str, tuple], pa.Array]:
+    """What each different text says, first what a null says, by field; and the place of every text among them."""
+    read = _reader(teams)
+    seen = texts.dictionary_encode()
+    said = [SILENT, *[read(text) for text in seen.dictionary.to_pylist()]]
+    return dict(zip(SAID, zip(*said))), pc.fill_null(pc.add(seen.indices, 1), 0)
+
+
 def read_arrays(ordered: pa.Array, teams: tuple[str, ...]) -> pa.Array:
     """Classified tokens of many frames; a text that many of them show is read once."""
-    read = _reader(teams)
     tokens = ordered.flatten()
-    seen = pc.struct_field(tokens, "text").dictionary_encode()
-    said = [SILENT, *[read(text) for text in seen.dictionary.to_pylist()]]
-    place = pc.fill_null(pc.add(seen.indices, 1), 0)
-    fields = [pa.array(column, kind).take(place) for column, kind in zip(zip(*said), SAID.values())]
+    said, place = _read_texts(pc.struct_field(tokens, "text"), teams)
+    fields = [pa.array(said[field], kind).take(place) for field, kind in SAID.items()]
     hits = pa.StructArray.from_arrays([pc.struct_field(tokens, "x"), *fields], ["x", *SAID])
     ends = np.cumsum(pc.fill_null(pc.list_value_length(ordered), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0)), hits, mask=ordered.is_null())
@@ -165,49 +189,88 @@ def computed_once(df: DataFrame, value: Column, name: str, keep: Sequence[str])
     return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def _first(hits: Column, field: str, place: int = 1) -> Column:
-    return F.try_element_at(F.filter(hits, lambda h: h[field].isNotNull()), F.lit(place))
+def _left_to_right(frame: np.ndarray, x: pa.Array) -> np.ndarray | None:
+    """The order of `order_tokens` within each frame: unknown places first, NaN last; None if it is the given one."""
+    known = x.is_valid().to_numpy(zero_copy_only=False)
+    value = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+    if known.all() and ((frame[1:] != frame[:-1]) | (value[1:] >= value[:-1])).all():
+        return None
+    return np.lexsort((value, known, frame))
+
+
+def read_frames(tokens: pa.Array, teams: tuple[str, ...]) -> pa.Array:
+    """What each of many frames says, in the fields of `SEEN`, from arrays of tokens with `x` and `text`."""
+    n, flat = len(tokens), tokens.flatten()
+    frame = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    x, text = pc.struct_field(flat, "x"), pc.struct_field(flat, "text")
+    order = _left_to_right(frame, x)
+    if order is not None:
+        x, text = x.take(pa.array(order)), text.take(pa.array(order))
+    shown = np.bincount(frame[text.is_valid().to_numpy(zero_copy_only=False)], minlength=n)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(shown, dtype=np.int32)])
+    lines = pa.ListArray.from_arrays(pa.array(ends), text.drop_null(), mask=tokens.is_null())
+    out = {"raw_text": pc.binary_join(lines, " ")}
+
+    said, place = _read_texts(text, teams)
+    place = place.to_numpy(zero_copy_only=False)
+
+    def holders(field: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that say the field, and where those of each frame begin and end among them."""
+        saying = np.flatnonzero(np.array([value is not None for value in said[field]])[place])
+        starts = np.searchsorted(frame[saying], np.arange(n + 1))
+        return saying, starts[:-1], starts[1:]
+
+    def at(saying: np.ndarray, places: np.ndarray, there: np.ndarray) -> pa.Array:
+        """Token numbers, null where a frame has none."""
+        tokens_at = np.zeros(n, np.int64)
+        tokens_at[there] = saying[places[there]]
+        return pa.array(tokens_at, mask=~there)
+
+    def value(field: str, token: pa.Array) -> pa.Array:
+        return pa.array(said[field], SAID[field]).take(pa.array(place).take(token))
+
+    for field in ("quarter", "clock", "down", "distance"):
+        saying, starts, stops = holders(field)
+        out[field] = value(field, at(saying, starts if field == "clock" else stops - 1, stops > starts))
+    for field, (first, second) in {"team": ("team_x", None), "score": ("away_x", "home_x")}.items():
+        saying, starts, stops = holders(field)
+        for number, at_x in ((1, first), (2, second)):
+            token = at(saying, starts + number - 1, stops - starts >= number)
+            out[f"{field}{number}"] = value(field, token)
+            if at_x:
+                out[at_x] = x.take(token)
+        out[f"n_{field}s"] = pa.array((stops - starts).astype(np.int32))
+    return pa.StructArray.from_arrays([out[name].cast(kind) for name, kind in SEEN.items()], list(SEEN))
 
 
 def with_state(
     frames: DataFrame, tokens: str = "tokens", out: str = "state", teams: Sequence[str] = tx.TEAM_CODES,
 ) -> DataFrame:
-    """Add struct `out` with the raw text and the eight state fields of a token array."""
-    keep = frames.columns
-    ordered = computed_once(frames, order_tokens(F.col(tokens)), "_ordered", keep)
-    hits = computed_once(ordered, token_hits(F.col("_ordered"), teams), "_hits", [*keep, "_ordered"])
-    found = hits.select(
-        *keep,
-        raw_text(F.col("_ordered")).alias("_raw_text"),
-        _first(F.col("_hits"), "quarter", -1)["quarter"].alias("_quarter"),
-        _first(F.col("_hits"), "clock")["clock"].alias("_clock"),
-        _first(F.col("_hits"), "down", -1)["down"].alias("_down"),
-        _first(F.col("_hits"), "distance", -1)["distance"].alias("_distance"),
-        F.filter(F.col("_hits"), lambda h: h["team"].isNotNull()).alias("_teams"),
-        F.filter(F.col("_hits"), lambda h: h["score"].isNotNull()).alias("_scores"),
-    )
-    placed = found.select(
-        "*",
-        F.size("_teams").alias("_n_teams"),
-        F.size("_scores").alias("_n_scores"),
-        F.try_element_at("_teams", F.lit(1)).alias("_t1"),
-        F.try_element_at("_teams", F.lit(2)).alias("_t2"),
-        F.try_element_at("_scores", F.lit(1)).alias("_s1"),
-        F.try_element_at("_scores", F.lit(2)).alias("_s2"),
-    )
-    lone_is_home = lone_team_side(
-        F.col("_n_teams"), F.col("_n_scores"), F.col("_t1")["x"], F.col("_s1")["x"], F.col("_s2")["x"],
-    )
+    """Add struct `out` with the raw text and the eight state fields of a token array.
+
+    Frames come in Arrow batches; a batch is ordered, read and gathered by frame with arrays, so no row walks its
+    tokens one by one and only the fields of a frame come back, not those of its tokens.
+    """
+    keep, listed = frames.columns, tuple(teams)
+
+    def read(batch: pa.Array) -> pa.Array:
+        return read_frames(batch, listed)
+
+    given = F.transform(tokens, lambda t: F.struct(t["x"].cast("double").alias("x"), t["text"].cast("string").alias("text")))
+    plain = frames.select(tokens).schema[0].dataType.simpleString() == "array<struct<x:double,text:string>>"
+    seen = computed_once(frames, F.arrow_udf(read, SEEN_SCHEMA)(F.col(tokens) if plain else given), "_seen", keep)
+    see = F.col("_seen")
+    lone_is_home = lone_team_side(see["n_teams"], see["n_scores"], see["team_x"], see["away_x"], see["home_x"])
     state = F.struct(
-        F.col("_raw_text").alias("raw_text"),
-        F.col("_quarter").alias("quarter"), F.col("_clock").alias("clock"),
-        F.col("_down").alias("down"), F.col("_distance").alias("distance"),
-        F.when(~lone_is_home, F.col("_t1")["team"]).alias("away_team"),
-        F.col("_s1")["score"].alias("away_score"),
-        F.when(lone_is_home, F.col("_t1")["team"]).otherwise(F.col("_t2")["team"]).alias("home_team"),
-        F.col("_s2")["score"].alias("home_score"),
+        see["raw_text"].alias("raw_text"),
+        see["quarter"].alias("quarter"), see["clock"].alias("clock"),
+        see["down"].alias("down"), see["distance"].alias("distance"),
+        F.when(~lone_is_home, see["team1"]).alias("away_team"),
+        see["score1"].alias("away_score"),
+        F.when(lone_is_home, see["team1"]).otherwise(see["team2"]).alias("home_team"),
+        see["score2"].alias("home_score"),
     )
-    return computed_once(placed, state, out, keep)
+    return seen.select(*keep, state.alias(out))
 
 
 def parse_token_frames(
