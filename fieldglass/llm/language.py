@@ -28,6 +28,7 @@ UNKNOWN_SHARE = 0.001  # prior of "none of the languages"
 LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
 _BLOCK = 1 << 19
+_SLICE = 1 << 16  # trigrams hashed together: the steps of a hash each make a copy
 _TABLES = 64  # languages whose counts a task holds at once
 _LETTER: np.ndarray | None = None
 
@@ -51,23 +52,34 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter trigrams of each text, runs of other characters read as one space, and their places."""
     points = np.frombuffer("\x00".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[np.minimum(points, 0x10000)]
-    space = letter == 0
-    keep = ~space
+    del points
+    keep = letter != 0
+    keep[1:] |= keep[:-1].copy()
     keep[0] = True
-    keep[1:] |= ~space[:-1]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    kept_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
-    bounds = kept_before[np.concatenate([np.zeros(1, np.int64), ends])]
-    letters = letter[keep].astype(np.uint64)
+    kept_before = np.zeros(len(keep) + 1, np.int32 if len(keep) < 1 << 31 else np.int64)
+    np.cumsum(keep, out=kept_before[1:])
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    bounds[1:] = kept_before[np.cumsum([len(t) + 1 for t in texts])]
+    del kept_before
+    letters = letter[keep]
+    del letter, keep
     if len(letters) < 3:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    code = (letters[:-2] * np.uint64(0x9E3779B1) + letters[1:-1]) * np.uint64(0x85EBCA77) + letters[2:]
     # Trigrams within a text: its kept characters but the last two; those of spaces only cannot occur.
-    starts = np.arange(len(code))
-    owner_end = np.repeat(bounds[1:], np.diff(bounds))[: len(code)]
-    inside = starts + 3 <= owner_end
-    places = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])[np.minimum(bounds, len(code))]
-    return (mix(code[inside]) >> np.uint64(49)).astype(np.int32), places
+    inside = np.ones(len(letters), bool)
+    inside[bounds[1:] - 1] = inside[np.maximum(bounds[1:] - 2, 0)] = False
+    starts = np.flatnonzero(inside[:-2])
+    places = np.searchsorted(starts, bounds)
+    code = letters[starts].astype(np.uint64)
+    code *= np.uint64(0x9E3779B1)
+    code += letters[starts + 1]
+    code *= np.uint64(0x85EBCA77)
+    code += letters[starts + 2]
+    del letters, starts, inside
+    buckets = np.empty(len(code), np.int32)
+    for lo in range(0, len(code), _SLICE):
+        buckets[lo: lo + _SLICE] = mix(code[lo: lo + _SLICE]) >> np.uint64(49)
+    return buckets, places
 
 
 def language_tag(column: Column) -> Column:

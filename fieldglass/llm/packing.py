@@ -24,7 +24,7 @@ LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces packed together in one task
 FULL_ENOUGH = 0.999  # bins at or above this share of the length are not opened again
-_CACHE = 600_000  # distinct words whose ids a worker remembers
+_CACHE = 150_000  # distinct words after which a worker forgets those it has not met since as many before
 # The pre-tokeniser's pattern for lower-case Latin-1 text, and the mark of a word's last token.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
                    r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -36,8 +36,9 @@ class WordTokenizer:
 
     The vocabulary never merges across the words that its pre-tokeniser cuts, so a text's ids are
     those of its words. Texts of Latin-1 characters are cut here, as the pre-tokeniser would, and only
-    new words go to the library; any other text is given to the library whole. The memory of words
-    is bounded and then begun anew.
+    new words go to the library; any other text is given to the library whole. The memory of words has
+    two generations: when the younger is full it becomes the older, and of the one it replaces only words met
+    meanwhile are known. So frequent words stay and the many that occur once do not add up.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -59,17 +61,24 @@ class WordTokenizer:
             for word, found in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
                 self.words[word] = np.array(found.ids, "<u4").tobytes()
 
+    def rest(self) -> None:
+        """Between tasks only the younger words are held: the worker may do other work next."""
+        self.older = {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > _CACHE:
-            self.words = {}
+            self.older, self.words = self.words, {}
         cut = [_WORD.findall(t.lower()) if _plain(t) else None for t in texts]
         new = set().union(*[c for c in cut if c]).difference(self.words)
+        known = self.older.keys() & new
+        self.words.update(zip(known, map(self.older.__getitem__, known)))
+        new -= known
         if new:
             self._learn(sorted(new))
-        known = self.words.__getitem__
+        ids_of = self.words.__getitem__
         return [
-            b"".join(map(known, c)) if c is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            b"".join(map(ids_of, c)) if c is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             for c, t in zip(cut, texts, strict=True)]
 
 
@@ -119,6 +128,7 @@ def pieces_of(
                         found.append(row | {"ids": part} if with_ids else row)
                     rows.append(found)
             yield pd.Series(rows, dtype=object)
+        encode.rest()
 
     made = F.pandas_udf(cut, schema)(F.coalesce(F.col(text_column), F.lit("")))
     return docs.select(F.col(id_column).alias("id"), F.explode(made).alias("p")).select("id", "p.*")
