@@ -214,20 +214,19 @@ def redact(docs: DataFrame, text_column: str = "text", size_column: str | None =
     """The rows with every reported span replaced by its kind in angle brackets; overlapping spans become one.
 
     Texts without a span come back as they are, null included, and so does their size. Columns are
-    unchanged, whatever their names. The rows are written once, with small Arrow batches, as texts are
-    long; the session's setting stays as it is.
+    unchanged, whatever their names. Nothing is written here: the caller's table is the only copy. As
+    texts are long, they go to Python a hundred at a time, not in Arrow batches of ten thousand.
     """
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: redacted(t, scope) if isinstance(t, str) else None)
+    def cut(text: str | None) -> str | None:
+        return None if text is None else redacted(text, scope)
 
     clean, = spare_names(docs, "_clean")
-    new = docs.withColumn(clean, F.pandas_udf(cut, "string")(text_column))
+    new = docs.withColumn(clean, F.udf(cut, "string", useArrow=False)(text_column))
     changed = F.col(clean) != F.col(text_column)
     out = {text_column: F.col(clean)}
     if size_column:
         out[size_column] = F.when(changed, F.length(clean).cast(docs.schema[size_column].dataType)).otherwise(F.col(size_column))
-    return keep_once(new.withColumns(out).select(*docs.columns), "redacted")
+    return new.withColumns(out).select(*docs.columns)
 
 
 def linked_in_text(text: str, strong: list, weak: list, scope: int) -> list[tuple[int, int, int]]:

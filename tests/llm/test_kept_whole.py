@@ -70,6 +70,17 @@ def test_redaction_leaves_the_session_as_it_is(spark, clashing):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_redaction_leaves_no_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    """The stage's caller writes its rows; a copy of its own would stay on disk through the stages after it."""
+    written = []
+    monkeypatch.setattr("fieldglass.llm.tables.scratch_path", lambda _, label: written.append(label) or str(tmp_path / f"{label}-{len(written)}"))
+    rows = [(i, f"password = hunter{i:05d}x and more" if i % 3 else None, 9) for i in range(250)]
+    out = credentials.redact(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int"))
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert found == {i: ("<assign> and more", 17) if i % 3 else (None, 9) for i in range(250)}
+    assert not written and not list(tmp_path.iterdir())
+
+
 def test_every_vector_has_its_row(spark):
     """Null and repeated ids with unlike vectors; ids of text."""
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
