@@ -1,5 +1,6 @@
 """Triggers and cooldown against brute force, live jobs against the batch job, records and sinks."""
 
+import os
 import random
 
 import pytest
@@ -215,3 +216,41 @@ def test_features_before_a_change_stay_the_same(spark):
         return sorted(map(str, out.collect()))
 
     assert early(df) == early(loud)
+
+
+def test_live_jobs_release_highlights(spark, monkeypatch):
+    """The live pipeline returns the highlights of its clips beside the probabilities, the same as the batch job's."""
+    from fieldglass.catalog import live as cl
+    from fieldglass.models import boosting
+    rng = random.Random(41)
+    words = {c: [["7"] * 12 for _ in range(80)] for c in (1, 2, 3)}
+    for c in words:
+        for seg in range(80):
+            loud = 9 if seg in (30, 34, 55, 78) and c < 3 else 1
+            words[c][seg] = ["KC", "14" if seg < 33 else "21", "SF", str(10 + c), "2ND & 7", "1ST 8:00", *["x" * (loud * rng.choice([3, 4]))] * 6]
+    rows = [(c, s, [(float(i), w) for i, w in enumerate(ws)]) for c, segs in words.items() for s, ws in enumerate(segs)]
+    made = spark.createDataFrame(rows, "doc_id long, seg int, tokens array<struct<x:double,text:string>>").repartition(3)
+    train = spark.range(60).select((F.col("id") % 3 + 2020).cast("int").alias("season"), (F.col("id") % 2).alias("label"), (F.col("id") % 4).alias("qtr"))
+    fitted = boosting.train_win_probability(train, 2022, boosting.Boosting(trees=2, depth=2), ["qtr"])
+    monkeypatch.setattr(cl, "frames", lambda *_: made)
+    monkeypatch.setattr(cl, "in_play_model", lambda *_: fitted)
+    out = cl.l5(spark, "").collect()
+    assert sorted((r["clip_id"], r["frame_id"]) for r in out if r["topic"] == "winprob") == sorted((c, s) for c, s, _ in rows)
+    found = sorted((r["clip_id"], r["t"], r["confirmed"], r["clip_start"], r["tag"]) for r in out if r["topic"] == "highlights")
+    # At 34 the clip rests, 55 + 23 lies beyond the last watermark of 79 - 5, as does 78.
+    assert found == [(c, 30.0, True, 15.0, "confirmed") for c in (1, 2)]
+
+
+def test_a_slice_of_a_replay_is_one_file(spark, tmp_path):
+    """Files of a table read by many tasks: none mixes slices, and they are ordered by time."""
+    df = spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 1000).cast("double").alias("t"))
+    df = df.unionByName(spark.createDataFrame([(None,)], "t double"))
+    path = str(tmp_path / "replay")
+    records.write_replay(df, path, "t", 4, 2)
+    records.write_replay(df.where("t < 5"), path, "t", 1)
+    files = sorted((os.stat(f"{path}/{f}").st_mtime_ns, f) for f in os.listdir(path) if f.endswith(".parquet"))
+    spans = [spark.read.parquet(f"{path}/{f}").agg(F.min("loop_id"), F.min("t"), F.max("t"), F.count("t")).first() for _, f in files]
+    assert len(spans) == 9 and sum(s[3] for s in spans) == 2005
+    for one, two in zip(spans[:8], spans[1:8]):
+        assert (one[0], one[2]) < (two[0], two[1])
+    assert max(s[3] for s in spans) < 300
