@@ -254,3 +254,23 @@ def test_a_slice_of_a_replay_is_one_file(spark, tmp_path):
     for one, two in zip(spans[:8], spans[1:8]):
         assert (one[0], one[2]) < (two[0], two[1])
     assert max(s[3] for s in spans) < 300
+
+
+def test_clips_of_a_bucket_keep_their_own_state(spark, monkeypatch):
+    """Also where all clips share one bucket, ids are beyond the whole numbers of a double and one is null."""
+    from fieldglass.streaming import highlights as live
+    monkeypatch.setattr(live, "BUCKETS", 1)
+    energy, scores = clip_records()
+    named = {c: None if i == 0 else (1 << 60) + i for i, c in enumerate(sorted({r[0] for r in energy}))}
+    expected = {(named[c], t): v for (c, t), v in _as_batch(spark, energy, scores).items() if t + 23 <= 239.5 - 10}
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    schema = "clip_id long, timestamp_sec double, id long, rms double, away_score int, home_score int, kind int"
+    rows = [(named[c], t, i, rms, None, None, 1) for c, t, i, rms in energy] + [(named[c], t, i, None, a, h, 0) for c, t, i, a, h in scores]
+    records.write_replay(spark.createDataFrame(rows, schema).repartition(5), path, "timestamp_sec", 3)
+    stream = records.read_replay(spark, path, schema, files_per_batch=1)
+    found = live_highlights(
+        stream.where("kind = 1").select("clip_id", "timestamp_sec", "id", "rms"),
+        stream.where("kind = 0").select("clip_id", "timestamp_sec", "id", "away_score", "home_score"), delay="10 seconds")
+    start_append(found, out, checkpoint).awaitTermination()
+    got = {(r["clip_id"], r["t"]): r["confirmed"] for r in spark.read.schema(found.schema).parquet(out).collect()}
+    assert got == expected and len({c for c, _ in got}) == len(named)
