@@ -139,3 +139,19 @@ def test_sliding_windows_and_late_rows(spark):
                 expected.setdefault((clip, float(start)), []).append(x)
     assert got == {k: (len(v), round((sum(x * x for x in v) / len(v)) ** 0.5, 9)) for k, v in expected.items()}
     assert wn.late_rows(query) > 0
+
+
+def test_a_half_is_not_tried_where_the_failure_must_lie(spark, monkeypatch):
+    """Fewer trials than two for each halving: 64 rows with one that fails have six halvings."""
+    made, refused = [], st._refused
+    monkeypatch.setattr(st, "FEW_ROWS", 4)
+    monkeypatch.setattr(st, "_refused", lambda action: made.append(1) or refused(action))
+    spark.range(64).select("id").coalesce(1).write.parquet(path := scratch_path(spark, "some"))
+    rows = spark.read.parquet(path)
+    counts = []
+    for failing in range(0, 64, 7):
+        made.clear()
+        aside = st.handle_each(rows, refusing([failing]), scratch_path(spark, "good"))
+        assert [r["id"] for r in aside.collect()] == [failing]
+        counts.append(len(made) - 2)  # but for the rows together, before and after
+    assert sum(counts) < 2 * 6 * len(counts)
